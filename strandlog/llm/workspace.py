@@ -1,0 +1,45 @@
+"""Tables written between steps, in the folder all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no folder, as in tests on one machine.
+LOCAL_DEFAULT = "/tmp/checkpoints/strandlog"
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or LOCAL_DEFAULT).rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df and read it again: later steps survive a lost executor and don't compute it twice.
+
+    The table goes when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandlog-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            discard(spark, path)
+        except Exception:  # the JVM may be gone by now
+            return

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_classifier, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_sharding": sharding.op5_sharding,
+        "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op5_sharding": sharding.OP5_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, secret_scan, sharding
+from . import fingerprints, packing, quality_classifier, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 

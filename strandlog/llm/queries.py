@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, quality_classifier, quality_rules, secret_scan, sharding
+from . import fingerprints, html_extract, packing, quality_classifier, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op3_html_extraction": html_extract.op3_html_extraction,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op8_secret_scan": secret_scan.op8_secret_scan,

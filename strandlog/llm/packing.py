@@ -150,7 +150,7 @@ class Plan:
     into sequences base, base + 1, ..., from offset on.
     """
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, large: float, groups: int):
+    def __init__(self, histogram: dict[int, int], capacity: int, large: float, groups: int):
         self.capacity, self.runs, self.sequences = capacity, [], 0
         self.used: dict[int, int] = defaultdict(int)
         self.room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: (first sequence, how many)

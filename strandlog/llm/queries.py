@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
+from . import fingerprints, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+        "op7_mixing": mixing.op7_mixing,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op4_minhash_near_dedup": near_dedup.OP4_SQL, "op5_sharding": sharding.OP5_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op4_minhash_near_dedup": near_dedup.OP4_SQL, "op5_sharding": sharding.OP5_SQL, "op7_mixing": mixing.OP7_SQL}

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 0
 PARTS = 64
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: Marks that the vocabulary's pre-tokenizer splits from letters before them, as one token's text.
+MARKS = ".,;:!?#$%&*|"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -56,28 +59,40 @@ def _tokenizer(vocabulary: str):
             import public_tokenizers
 
             path = public_tokenizers.path(vocabulary)
-        _tokenizers[vocabulary] = (Tokenizer.from_file(path), {})
+        _tokenizers[vocabulary] = (Tokenizer.from_file(path), ({}, {}))
     return _tokenizers[vocabulary]
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """Letters of a word, in lower case if they are ASCII, and the marks after them; (word, '') if it has another form."""
+    stem = word.rstrip(MARKS)
+    if not stem.isalpha():
+        return word, ""
+    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+
+
 def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, without the closing id.
 
-    The vocabulary drops white space and joins nothing across it, so the ids of a text are
-    those of its parts between blanks and line breaks, one after the other; each distinct
-    part is encoded once.
+    The vocabulary lower-cases, drops white space and joins nothing across it, nor letters and the
+    marks after them. So the ids of a text are those of its parts, one after the other, and
+    each distinct part is encoded once.
     """
-    tokenizer, cache = _tokenizer(vocabulary)
+    tokenizer, (words, stems) = _tokenizer(vocabulary)
     parts = [t.replace("\n", " ").split(" ") for t in texts]
     seen: set[str] = set()
     for p in parts:
         seen.update(p)
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    new = [w for w in seen if w not in cache]
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, p)) for p in parts]
+    if len(words) > CACHED_WORDS or len(stems) > CACHED_WORDS:
+        words.clear()
+        stems.clear()
+    new = {w: _stem(w) for w in seen if w not in words}
+    lacking = [x for x in {x for pair in new.values() for x in pair} if x not in stems]
+    for x, e in zip(lacking, tokenizer.encode_batch_fast(lacking, add_special_tokens=False), strict=True):
+        stems[x] = array("I", e.ids).tobytes()
+    for w, (stem, marks) in new.items():
+        words[w] = stems[stem] + stems[marks]
+    return [b"".join(map(words.__getitem__, p)) for p in parts]
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

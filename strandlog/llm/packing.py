@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,10 @@ def _stem(word: str) -> tuple[str, str]:
     stem = word.rstrip(MARKS)
     if not stem.isalpha():
         return word, ""
-    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+    if stem.isascii():
+        return stem.lower(), word[len(stem) :]
+    # A letter whose normal form ends in a combining mark would join the marks after it.
+    return (stem, word[len(stem) :]) if normalize("NFC", stem.lower()).isalpha() else (word, "")
 
 
 def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:

@@ -15,8 +15,8 @@ MAX_CELLS rows, and in a shuffled join beyond that.
 
 Nulls in source, language or text: a cell value of '', and no tokens. Cells without tokens are
 kept whole. A null id counts as ''; rows of one id are kept or dropped together. An empty
-table gives no rows. Columns are added under `_`-prefixed names inside and returned as one
-struct column, so names can't clash.
+table gives no rows. Results are one struct column, in place of an input column of that name;
+input columns have stand-in names inside, so they can't clash.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlog.workspace import materialize
+
 from .tables import table
-from .workspace import materialize
 
 ROUNDS = 12
 ROUNDS_A_TABLE = 4
@@ -113,6 +114,7 @@ def mix(
     targets: Mapping[str, Mapping[str, float] | float] = POWERS, budget: float = BUDGET, out: str = "mix",
 ) -> DataFrame:
     """docs with a struct column out: source, lang, topic, n_tokens, weight and p of the cell, kept."""
+    docs = docs.drop(out)
     body = F.coalesce(docs[text], F.lit(""))
     named = {"source": F.coalesce(docs[source].cast("string"), F.lit("")), "lang": F.coalesce(docs[lang].cast("string"), F.lit("")), "topic": F.coalesce(topic, F.lit("")) if topic is not None else topic_of(body)}
     own = [docs[c].alias(f"_in{i}") for i, c in enumerate(docs.columns)]

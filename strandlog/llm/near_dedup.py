@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlog.workspace import materialize
+
 from .tables import table
 from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes
-from .workspace import materialize
 
 POSITIONS = 128
 CAP = 64

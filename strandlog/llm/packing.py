@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlog.workspace import materialize
+
 from .tables import table
 from .textvec import slices
-from .workspace import materialize
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"

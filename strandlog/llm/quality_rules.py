@@ -17,7 +17,7 @@ are compared by 64-bit hashes within one document.
 
 Null or empty text: no words, base_failed, not kept, cleaned text ''. Repeated rows
 and ties: each row is judged alone. Empty table: empty result. Input columns stay as
-they are; results are one struct column, so names can't clash.
+they are; results are one struct column, in place of an input column of that name.
 """
 
 from __future__ import annotations
@@ -86,6 +86,7 @@ def quality_rules(
 
     See the module for the rules and for nulls, ties and empty tables.
     """
+    docs = docs.drop(out) if out != text else docs
     own = [docs[c].alias(f"_in{i}") for i, c in enumerate(docs.columns)]
     kept_columns = [f"_in{i}" for i in range(len(own))]
     staged = docs.select(*own, F.filter(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))

@@ -43,7 +43,7 @@ VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 0
 PARTS = 64
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 #: Marks that the vocabulary's pre-tokenizer splits from letters before them, as one token's text.
 MARKS = ".,;:!?#$%&*|"
 
@@ -65,15 +65,35 @@ def _tokenizer(vocabulary: str):
     return _tokenizers[vocabulary]
 
 
+def _letters(text: str) -> bool:
+    """Whether text is letters only, in lower case and normal form too: a combining mark would join the marks after it."""
+    return text.isalpha() and (text.isascii() or normalize("NFC", text.lower()).isalpha())
+
+
 def _stem(word: str) -> tuple[str, str]:
     """Letters of a word, in lower case if they are ASCII, and the marks after them; (word, '') if it has another form."""
     stem = word.rstrip(MARKS)
-    if not stem.isalpha():
+    if not _letters(stem):
         return word, ""
-    if stem.isascii():
-        return stem.lower(), word[len(stem) :]
-    # A letter whose normal form ends in a combining mark would join the marks after it.
-    return (stem, word[len(stem) :]) if normalize("NFC", stem.lower()).isalpha() else (word, "")
+    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+
+
+def _encode_each(tokenizer, texts: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_letters(tokenizer, stems: list[str], together: int = 128) -> list[bytes]:
+    """Ids of stems that are letters only: many at once, parted by a mark, whose id no letters give."""
+    (part,) = np.frombuffer(_encode_each(tokenizer, [","])[0], "<u4")
+    out: list[bytes] = []
+    groups = [stems[i : i + together] for i in range(0, len(stems), together)]
+    for group, ids in zip(groups, _encode_each(tokenizer, [" , ".join(g) for g in groups]), strict=True):
+        ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == part) * 4).tolist()
+        if len(ends) != len(group) - 1:
+            out += _encode_each(tokenizer, group)
+        else:
+            out += [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True)]
+    return out
 
 
 def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
@@ -85,16 +105,15 @@ def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     """
     tokenizer, (words, stems) = _tokenizer(vocabulary)
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    seen: set[str] = set()
-    for p in parts:
-        seen.update(p)
     if len(words) > CACHED_WORDS or len(stems) > CACHED_WORDS:
         words.clear()
         stems.clear()
-    new = {w: _stem(w) for w in seen if w not in words}
-    lacking = [x for x in {x for pair in new.values() for x in pair} if x not in stems]
-    for x, e in zip(lacking, tokenizer.encode_batch_fast(lacking, add_special_tokens=False), strict=True):
-        stems[x] = array("I", e.ids).tobytes()
+    new = {w: _stem(w) for w in {w for p in parts for w in p if w not in words}}
+    lacking = {x for pair in new.values() for x in pair if x not in stems}
+    letters = [x for x in lacking if _letters(x)]
+    others = [x for x in lacking if not _letters(x)]
+    stems.update(zip(letters, _encode_letters(tokenizer, letters), strict=True))
+    stems.update(zip(others, _encode_each(tokenizer, others), strict=True))
     for w, (stem, marks) in new.items():
         words[w] = stems[stem] + stems[marks]
     return [b"".join(map(words.__getitem__, p)) for p in parts]

@@ -175,6 +175,17 @@ def _within(allowed: int):
     return run
 
 
+def _shared_keys(allowed: int):
+    """Keys of the first dealing that both nodes of a pair are filed under."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _key_slices(batches):
+            one, two = (keys(_matrix(part.column(c)), allowed, 0) for c in ("_sa", "_sb"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(one[one == two]).view(np.int64))], names=["_key"])
+
+    return run
+
+
 def _near(percent: int):
     """Pairs whose full sets are similar enough."""
 
@@ -244,10 +255,14 @@ class _Graph:
         """Pairs whose nodes are in different components."""
         return self.comp(self.comp(pairs, "_a", "_ca"), "_b", "_cb").filter("_ca <> _cb").select("_a", "_b")
 
+    def beside(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with both signatures."""
+        side = lambda c: self.sign.select(F.col("_node").alias(f"_{c}"), F.col("_sign").alias(f"_s{c}"))
+        return pairs.join(side("a"), "_a").join(side("b"), "_b")
+
     def close(self, pairs: DataFrame) -> DataFrame:
         """Pairs within the signature distance."""
-        side = lambda c: self.sign.select(F.col("_node").alias(f"_{c}"), F.col("_sign").alias(f"_s{c}"))
-        return pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_within(self.allowed), "_a long, _b long")
+        return self.beside(pairs).mapInArrow(_within(self.allowed), "_a long, _b long")
 
     def fetch(self, nodes: DataFrame) -> None:
         """Write the sets of nodes (column _node); their texts are read again and shuffled once."""
@@ -282,22 +297,28 @@ def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFram
     # One pair of each node links most; the other pairs are needed only where they join components.
     graph.confirm(stars.groupBy("_b").agg(F.min("_a").alias("_a")).select("_a", "_b"))
     graph.confirm(graph.apart(stars))
-    alive = graph.sign.join(alive, "_node", "left_semi")
-    live = graph.comp(alive, "_node", "_comp").withColumn("_key", F.lit(0).cast("long"))
+    # A key has members in two components only if it made a pair whose nodes are still apart.
+    apart = materialize(graph.apart(pairs), "apart")
+    if not apart.limit(1).count():
+        return graph.labels
+    mixed = graph.beside(apart).mapInArrow(_shared_keys(graph.allowed), "_key long").distinct()
+    live = graph.comp(graph.sign.join(alive, "_node", "left_semi"), "_node", "_comp").withColumn("_key", F.lit(0).cast("long"))
     for dealing in range(DEALINGS):
         filed = live.mapInArrow(_filed(graph.allowed, dealing), "_key long, _node long, _comp long")
-        mixed = filed.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.count("*").alias("_count"))
-        mixed = materialize(mixed.filter("_low < _high").select("_key", "_count"), "mixed")
-        rows = materialize(filed.join(mixed, "_key"), "members")
+        if dealing:
+            mixed = filed.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low < _high").select("_key")
+        rows = materialize(filed.join(mixed, "_key", "left_semi"), "members")
+        counts = rows.groupBy("_key").agg(F.count("*").alias("_count"))
         last = dealing == DEALINGS - 1
-        small = rows if last else rows.filter(F.col("_count") <= CAP)
+        small = rows if last else rows.join(counts.filter(F.col("_count") <= CAP), "_key")
         one = small.select("_key", F.col("_node").alias("_a"), F.col("_comp").alias("_ca"))
         two = small.select("_key", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"))
         fresh = one.join(two, "_key").filter("_a < _b and _ca <> _cb").select("_a", "_b").distinct()
         graph.confirm(materialize(graph.close(fresh.join(stars, ["_a", "_b"], "left_anti")), "rest"))
-        if last or not mixed.filter(F.col("_count") > CAP).limit(1).count():
+        large = counts.filter(F.col("_count") > CAP)
+        if last or not large.limit(1).count():
             break
-        live = graph.comp(rows.filter(F.col("_count") > CAP).select("_key", "_node").join(graph.sign, "_node"), "_node", "_comp")
+        live = graph.comp(rows.join(large, "_key").select("_key", "_node").join(graph.sign, "_node"), "_node", "_comp")
     return graph.labels
 
 

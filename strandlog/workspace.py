@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: With this setting Spark removes an execution's shuffle files when it ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it again: later steps survive a lost executor and don't compute it twice."""
+    """Write df and read it again: later steps survive a lost executor and don't compute it twice.
+
+    What the write shuffled isn't needed again and goes at once.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _clean_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,9 +12,9 @@ distance shares a key; every link is then confirmed on the full sets.
 Not all pairs of a key are made. First each node is held against the least node of its key
 (within a slice, then over all slices, so a key that a third of all nodes share sends one row a
 slice). Links give components. Keys whose nodes are in one component by then need nothing
-more. For the rest, pairs across components are made in keys with up to CAP nodes; larger keys
-are split by the keys of a second dealing of the positions (which pairs within the distance share
-as well), and so on, at most DEALINGS times, before their pairs are made.
+more. For the rest, signatures are held against each other across components, in blocks of at
+most BLOCK nodes; a pair comes out only if it is within the distance, and only under the first
+key that it shares.
 
 Components come from minimum labels with pointer jumping, each round written to the shared
 folder. Nothing but counts reaches the driver.
@@ -29,7 +29,6 @@ numbers below 2 ** 62.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -44,8 +43,8 @@ from .tables import table
 from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes
 
 POSITIONS = 128
-CAP = 64
-DEALINGS = 3
+#: Nodes of a key that one task holds against each other; larger keys are cut into pairs of blocks.
+BLOCK = 4096
 NULL_ID = 1 << 62
 #: Standard deviations of the number of differing positions that a signature may exceed its mean by.
 MARGIN = 5.2
@@ -53,6 +52,7 @@ MARGIN = 5.2
 _XOR = seeds(POSITIONS, 41)
 _MUL = seeds(POSITIONS, 42) | _U(1)
 _CELL = seeds(POSITIONS * 256, 43).reshape(POSITIONS, 256)
+_PLACE = seeds(POSITIONS, 60)
 _SALT = seeds(64, 44)
 
 
@@ -110,14 +110,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(bufs[2], np.uint8)[offset : offset + len(column) * POSITIONS].reshape(-1, POSITIONS) if len(column) else np.zeros((0, POSITIONS), np.uint8)
 
 
-def keys(sign: np.ndarray, allowed: int, dealing: int) -> np.ndarray:
+def keys(sign: np.ndarray, allowed: int) -> np.ndarray:
     """POSITIONS keys of each signature: for every chunk, the chunk without each of its positions in turn."""
-    chunks = ceil((allowed + 1) / 2)
-    deal = np.argsort(seeds(POSITIONS, 50 + dealing)) if dealing else np.arange(POSITIONS)
     cells = _CELL[np.arange(POSITIONS)[None, :], sign]
     out = np.empty(sign.shape, _U)
-    for chunk in np.array_split(deal, chunks):
-        out[:, chunk] = (cells[:, chunk].sum(axis=1, dtype=_U)[:, None] - cells[:, chunk]) + seeds(POSITIONS, 60 + dealing)[chunk][None, :]
+    for chunk in np.array_split(np.arange(POSITIONS), ceil((allowed + 1) / 2)):
+        out[:, chunk] = (cells[:, chunk].sum(axis=1, dtype=_U)[:, None] - cells[:, chunk]) + _PLACE[chunk][None, :]
     return mix64(out)
 
 
@@ -132,7 +130,7 @@ def _stars(allowed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _key_slices(batches):
-            key = keys(_matrix(part.column("_sign")), allowed, 0).ravel()
+            key = keys(_matrix(part.column("_sign")), allowed).ravel()
             node = np.repeat(np.asarray(part.column("_node")), POSITIONS)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -152,20 +150,76 @@ def _stars(allowed: int):
     return run
 
 
-def _filed(allowed: int, dealing: int):
-    """Rows (key, node, comp) for all keys of one dealing, within the key that was before, if any."""
+def _filed(allowed: int):
+    """Rows (key, node, comp) for all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _key_slices(batches):
-            key = keys(_matrix(part.column("_sign")), allowed, dealing)
-            if dealing:
-                key = mix64(key ^ np.asarray(part.column("_key")).view(_U)[:, None])
+            key = keys(_matrix(part.column("_sign")), allowed)
             columns = [pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(np.asarray(part.column(c)), POSITIONS)) for c in ("_node", "_comp"))]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_node", "_comp"])
 
     return run
 
 
+def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, allowed: int, whole: bool) -> np.ndarray:
+    """Pairs of nodes of one key in different components and within the distance, each under the first key it shares.
+
+    Unless whole, only pairs of nodes from different blocks (own) count. Of two such nodes at least one is
+    outside the largest component, so only those are held against all.
+    """
+    names, number, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) == 1:
+        return np.zeros((2, 0), np.int64)
+    outside = np.flatnonzero(number != counts.argmax())
+    step = max(1, (1 << 24) // (len(node) * POSITIONS))
+    out = []
+    for at in range(0, len(outside), step):
+        rows = outside[at : at + step]
+        ok = (sign[rows][:, None, :] != sign[None, :, :]).sum(axis=2) <= allowed
+        ok &= (number[rows][:, None] != number[None, :]) & (node[rows][:, None] != node[None, :])
+        if not whole:
+            ok &= own[rows][:, None] != own[None, :]
+        x, y = np.nonzero(ok)
+        x = rows[x]
+        both = np.isin(y, outside)
+        x, y = x[~both | (x < y)], y[~both | (x < y)]
+        if len(x):
+            one, two = keys(sign[x], allowed), keys(sign[y], allowed)
+            first = one[np.arange(len(x)), (one == two).argmax(axis=1)] == np.int64(key).view(_U)
+            out.append(np.stack([np.minimum(node[x], node[y])[first], np.maximum(node[x], node[y])[first]]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _across(allowed: int):
+    """Pairs (a, b) from rows sorted by key and block pair; a task holds one pair of blocks at a time."""
+
+    def emit(group: tuple[int, int, int], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        own, node, comp, sign = (np.concatenate(x) for x in zip(*held, strict=True))
+        pairs = across(group[0], own, node, comp, sign, allowed, group[1] == group[2])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["_a", "_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("_key", "_i", "_j")])
+            columns = (*(np.asarray(batch.column(c)) for c in ("_own", "_node", "_comp")), _matrix(batch.column("_sign")))
+            cuts = np.append(np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0))), batch.num_rows)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(group[:, a].tolist())
+                if key != now:
+                    if held:
+                        yield emit(now, held)
+                    now, held = key, []
+                held.append(tuple(c[a:b] for c in columns))
+        if held:
+            yield emit(now, held)
+
+    return run
+
+
 def _within(allowed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +230,11 @@ def _within(allowed: int):
 
 
 def _shared_keys(allowed: int):
-    """Keys of the first dealing that both nodes of a pair are filed under."""
+    """Keys that both nodes of a pair are filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _key_slices(batches):
-            one, two = (keys(_matrix(part.column(c)), allowed, 0) for c in ("_sa", "_sb"))
+            one, two = (keys(_matrix(part.column(c)), allowed) for c in ("_sa", "_sb"))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(one[one == two]).view(np.int64))], names=["_key"])
 
     return run
@@ -302,23 +356,17 @@ def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFram
     if not apart.limit(1).count():
         return graph.labels
     mixed = graph.beside(apart).mapInArrow(_shared_keys(graph.allowed), "_key long").distinct()
-    live = graph.comp(graph.sign.join(alive, "_node", "left_semi"), "_node", "_comp").withColumn("_key", F.lit(0).cast("long"))
-    for dealing in range(DEALINGS):
-        filed = live.mapInArrow(_filed(graph.allowed, dealing), "_key long, _node long, _comp long")
-        if dealing:
-            mixed = filed.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low < _high").select("_key")
-        rows = materialize(filed.join(mixed, "_key", "left_semi"), "members")
-        counts = rows.groupBy("_key").agg(F.count("*").alias("_count"))
-        last = dealing == DEALINGS - 1
-        small = rows if last else rows.join(counts.filter(F.col("_count") <= CAP), "_key")
-        one = small.select("_key", F.col("_node").alias("_a"), F.col("_comp").alias("_ca"))
-        two = small.select("_key", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"))
-        fresh = one.join(two, "_key").filter("_a < _b and _ca <> _cb").select("_a", "_b").distinct()
-        graph.confirm(materialize(graph.close(fresh.join(stars, ["_a", "_b"], "left_anti")), "rest"))
-        large = counts.filter(F.col("_count") > CAP)
-        if last or not large.limit(1).count():
-            break
-        live = graph.comp(rows.join(large, "_key").select("_key", "_node").join(graph.sign, "_node"), "_node", "_comp")
+    live = graph.comp(graph.sign.join(alive, "_node", "left_semi"), "_node", "_comp")
+    filed = live.mapInArrow(_filed(graph.allowed), "_key long, _node long, _comp long")
+    members = materialize(filed.join(mixed, "_key", "left_semi"), "members")
+    counts = members.groupBy("_key").agg(F.count("*").alias("_count"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
+    counts = counts.filter("_low < _high").select("_key", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
+    dealt = members.join(counts, "_key").join(graph.sign, "_node").withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp", "_sign")
+    found = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_across(graph.allowed), "_a long, _b long")
+    graph.confirm(materialize(found.join(stars, ["_a", "_b"], "left_anti"), "rest"))
     return graph.labels
 
 

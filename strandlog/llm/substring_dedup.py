@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlog.workspace import materialize
+
 from .tables import table
 from .textvec import _U, Words, mix64, seeds, slices
 
@@ -235,7 +237,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     seen, before = None, None
     for size in levels(window)[:-1]:
         source = own if seen is None else texts.join(seen.hint("shuffle_hash"), "_key", "left").select(*columns, "_seen")
-        seen, before = _repeated(source.mapInArrow(_anchors(size, window, before), "_hash long, _key long, _known boolean, _route long")), size
+        found = _repeated(source.mapInArrow(_anchors(size, window, before), "_hash long, _key long, _known boolean, _route long"))
+        # The first level shuffles most hashes and needs no shuffled text; written, they are gone before the texts move.
+        seen, before = materialize(found, "repeats") if seen is None else found, size
     if seen is None:
         seen = own.select("_key", F.array().cast("array<long>").alias("_seen")).limit(0)
     known = texts.join(seen.hint("shuffle_hash"), "_key", "left").select(*columns, "_seen")

@@ -203,9 +203,9 @@ def chains(n=160, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("cap", [64, 2])
-def test_near_duplicates_at_the_threshold(spark, monkeypatch, cap):
-    monkeypatch.setattr(near_dedup, "CAP", cap)
+@pytest.mark.parametrize("block", [4096, 20])
+def test_near_duplicates_at_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = chains()
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == sorted(brute_components(rows, 3, 85))
@@ -219,8 +219,7 @@ def test_keys_guarantee_pairs_within_the_distance():
         b = a.copy()
         at = r.choice(near_dedup.POSITIONS, allowed, replace=False)
         b[0, at] += 1
-        for dealing in range(near_dedup.DEALINGS):
-            assert (near_dedup.keys(a, allowed, dealing) == near_dedup.keys(b, allowed, dealing)).any()
+        assert (near_dedup.keys(a, allowed) == near_dedup.keys(b, allowed)).any()
 
 
 def test_keep_one(edge, nothing):

@@ -141,9 +141,6 @@ def consumer_lag(spark, sf_dir):
 
 # Validation
 
-_HEADERS = """list_transform(range(1, 1 + n_chars % 70), lambda i: 'h' || i)"""
-
-
 @_query(f"""WITH d AS (SELECT doc_id, text, source, n_chars % 70 AS n, doc_id % 11 = 3 AS reserved, doc_id % 13 = 4 AS long_key, doc_id % 17 = 5 AS big_key FROM documents)
 SELECT doc_id, CASE WHEN strlen(text) > 8192 THEN 'payload_too_large' WHEN big_key AND strlen(source) * 1500 > 4096 THEN 'key_too_long'
   WHEN n + reserved::INT + long_key::INT + 1 > 64 THEN 'too_many_headers' WHEN reserved THEN 'reserved_header'

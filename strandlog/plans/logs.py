@@ -28,7 +28,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as logs: a topic per event type, offsets in order of time, one record a batch."""
     hour = F.floor(F.col("timestamp_ms") / HOUR_MS)
     rows = log.assign_offsets(event_messages(spark, sf_dir), ["ts", "event_id"], hour)
-    size = F.lit(frames.BATCH_HEADER) + frames.record_bytes(F.col("key"), F.col("payload"), F.lit(None).cast("map<string,string>"), {})
     size = F.lit(frames.BATCH_HEADER + frames.RECORD_FIXED) + F.octet_length("key") + F.octet_length("payload")
     return rows.withColumns({"batch_base": F.col("offset"), "frame_bytes": size.cast("long")})
 

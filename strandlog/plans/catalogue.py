@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog import errors
@@ -216,10 +216,20 @@ def validate_partitions(spark, sf_dir):
 
 # Frames, headers and names
 
-_FIELDS = {
-    "event_id": F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV"), "content_type": F.when(F.col("turn") % 2 == 0, "text/plain").otherwise(""), "correlation_id": F.col("conv_id").cast("string"),
-    "trace_id": F.lit(""), "retry_count": (F.col("turn") % 3 - 1).cast("int"), "ttl_ms": F.col("conv_id") * 1000, "priority": F.col("turn").cast("int"), "schema_version": F.lit(0),
-}
+def _fields() -> dict[str, Column]:
+    """Metadata of conversations' messages; one expression per field."""
+    return {
+        "event_id": F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV"),
+        "content_type": F.when(F.col("turn") % 2 == 0, "text/plain").otherwise(""),
+        "correlation_id": F.col("conv_id").cast("string"),
+        "trace_id": F.lit(""),
+        "retry_count": (F.col("turn") % 3 - 1).cast("int"),
+        "ttl_ms": F.col("conv_id") * 1000,
+        "priority": F.col("turn").cast("int"),
+        "schema_version": F.lit(0),
+    }
+
+
 _FIELD_SQL = {
     "event_id": "'01ARZ3NDEKTSV4RRFFQ69G5FAV'", "content_type": "CASE WHEN turn % 2 = 0 THEN 'text/plain' ELSE '' END", "correlation_id": "conv_id::VARCHAR",
     "retry_count": "CASE WHEN turn % 3 = 1 THEN '' ELSE (turn % 3 - 1)::VARCHAR END", "ttl_ms": "CASE WHEN conv_id = 0 THEN '' ELSE (conv_id * 1000)::VARCHAR END", "priority": "CASE WHEN turn = 0 THEN '' ELSE turn::VARCHAR END",
@@ -230,20 +240,20 @@ _FIELD_SQL = {
         + " + ".join(f"CASE WHEN {v} <> '' THEN {8 + 8 + len(k)} + strlen({v}) ELSE 0 END" for k, v in _FIELD_SQL.items()) + " AS record_bytes FROM conversations")
 def frame_sizes(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    size = frames.record_bytes(F.col("conv_id").cast("string"), F.col("text"), F.create_map(F.lit("role"), F.col("role")), _FIELDS)
+    size = frames.record_bytes(F.col("conv_id").cast("string"), F.col("text"), F.create_map(F.lit("role"), F.col("role")), _fields())
     return c.select("conv_id", "turn", size.alias("record_bytes"))
 
 
 @_query("SELECT conv_id, turn, key, value FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{M.SYSTEM_PREFIX}{k}' AS key, {v} AS value FROM conversations" for k, v in _FIELD_SQL.items())
         + " UNION ALL SELECT conv_id, turn, 'role', role FROM conversations) WHERE value <> ''")
 def system_headers(spark, sf_dir):
-    every = F.map_concat(frames.system_headers(_FIELDS), F.create_map(F.lit("role"), F.col("role")))
+    every = F.map_concat(frames.system_headers(_fields()), F.create_map(F.lit("role"), F.col("role")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(every))
 
 
 @_query("SELECT conv_id, turn, 'role=' || role AS user_headers, conv_id * 1000 AS ttl_ms, (turn % 3 - 1)::INTEGER AS retry_count, '' AS trace_id FROM conversations")
 def header_fields(spark, sf_dir):
-    every = F.map_concat(frames.system_headers(_FIELDS), F.create_map(F.lit("role"), F.col("role")))
+    every = F.map_concat(frames.system_headers(_fields()), F.create_map(F.lit("role"), F.col("role")))
     c = table(spark, sf_dir, "conversations").withColumn("headers", every)
     user = F.array_join(F.transform(F.map_entries(frames.user_headers(F.col("headers"))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return c.select("conv_id", "turn", user.alias("user_headers"), *[frames.field_of(F.col("headers"), n).alias(n) for n in ("ttl_ms", "retry_count", "trace_id")])

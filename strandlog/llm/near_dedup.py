@@ -45,6 +45,8 @@ from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes
 POSITIONS = 128
 #: Nodes of a key that one task holds against each other; larger keys are cut into pairs of blocks.
 BLOCK = 4096
+#: Pairs of signatures in memory at a time.
+PAIRS = 1 << 15
 NULL_ID = 1 << 62
 #: Standard deviations of the number of differing positions that a signature may exceed its mean by.
 MARGIN = 5.2
@@ -151,52 +153,67 @@ def _stars(allowed: int):
 
 
 def _filed(allowed: int):
-    """Rows (key, node, comp) for all keys."""
+    """Rows (key, node) for all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _key_slices(batches):
             key = keys(_matrix(part.column("_sign")), allowed)
-            columns = [pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(np.asarray(part.column(c)), POSITIONS)) for c in ("_node", "_comp"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_node", "_comp"])
+            columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("_node")), POSITIONS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_node"])
 
     return run
 
 
-def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, allowed: int, whole: bool) -> np.ndarray:
+def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, allowed: int, whole: bool, best: bool = False) -> np.ndarray:
     """Pairs of nodes of one key in different components and within the distance, each under the first key it shares.
 
+    With best, of a node's pairs with one component only that with the least distance.
+
     Unless whole, only pairs of nodes from different blocks (own) count. Of two such nodes at least one is
     outside the largest component, so only those are held against all.
     """
     names, number, counts = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) == 1:
         return np.zeros((2, 0), np.int64)
-    outside = np.flatnonzero(number != counts.argmax())
-    step = max(1, (1 << 24) // (len(node) * POSITIONS))
-    out = []
+    out_of = number != counts.argmax()
+    outside = np.flatnonzero(out_of)
+    # Positions whose two lowest bits differ do differ: most pairs are beyond the distance by those alone.
+    low = [np.packbits(sign >> bit & 1, axis=1).view(_U) for bit in (0, 1)]
+    step = max(1, PAIRS // len(node))
+    out, every = [], None
     for at in range(0, len(outside), step):
         rows = outside[at : at + step]
-        ok = (sign[rows][:, None, :] != sign[None, :, :]).sum(axis=2) <= allowed
+        differ = (low[0][rows][:, None, :] ^ low[0][None, :, :]) | (low[1][rows][:, None, :] ^ low[1][None, :, :])
+        ok = np.bitwise_count(differ).sum(axis=2, dtype=np.int16) <= allowed
         ok &= (number[rows][:, None] != number[None, :]) & (node[rows][:, None] != node[None, :])
         if not whole:
             ok &= own[rows][:, None] != own[None, :]
         x, y = np.nonzero(ok)
         x = rows[x]
-        both = np.isin(y, outside)
-        x, y = x[~both | (x < y)], y[~both | (x < y)]
-        if len(x):
-            one, two = keys(sign[x], allowed), keys(sign[y], allowed)
-            first = one[np.arange(len(x)), (one == two).argmax(axis=1)] == np.int64(key).view(_U)
+        once = ~out_of[y] | (x < y)
+        x, y = x[once], y[once]
+        far = (sign[x] != sign[y]).sum(axis=1)
+        x, y, far = (v[far <= allowed] for v in (x, y, far))
+        if best and len(x):
+            order = np.lexsort((y, far, number[y], x))
+            x, y = x[order], y[order]
+            first = np.append(True, (x[1:] != x[:-1]) | (number[y][1:] != number[y][:-1]))
+            x, y = x[first], y[first]
+        if len(x) and best:
+            out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        elif len(x):
+            every = keys(sign, allowed) if every is None else every
+            first = every[x, (every[x] == every[y]).argmax(axis=1)] == np.int64(key).view(_U)
             out.append(np.stack([np.minimum(node[x], node[y])[first], np.maximum(node[x], node[y])[first]]))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def _across(allowed: int):
+def _across(allowed: int, best: bool):
     """Pairs (a, b) from rows sorted by key and block pair; a task holds one pair of blocks at a time."""
 
     def emit(group: tuple[int, int, int], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         own, node, comp, sign = (np.concatenate(x) for x in zip(*held, strict=True))
-        pairs = across(group[0], own, node, comp, sign, allowed, group[1] == group[2])
+        pairs = across(group[0], own, node, comp, sign, allowed, group[1] == group[2], best)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["_a", "_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,17 +373,23 @@ def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFram
     if not apart.limit(1).count():
         return graph.labels
     mixed = graph.beside(apart).mapInArrow(_shared_keys(graph.allowed), "_key long").distinct()
-    live = graph.comp(graph.sign.join(alive, "_node", "left_semi"), "_node", "_comp")
-    filed = live.mapInArrow(_filed(graph.allowed), "_key long, _node long, _comp long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = graph.sign.join(alive, "_node", "left_semi").mapInArrow(_filed(graph.allowed), "_key long, _node long")
     members = materialize(filed.join(mixed, "_key", "left_semi"), "members")
-    counts = members.groupBy("_key").agg(F.count("*").alias("_count"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
-    counts = counts.filter("_low < _high").select("_key", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
-    dealt = members.join(counts, "_key").join(graph.sign, "_node").withColumn("_own", own)
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp", "_sign")
-    found = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_across(graph.allowed), "_a long, _b long")
-    graph.confirm(materialize(found.join(stars, ["_a", "_b"], "left_anti"), "rest"))
+    done = stars
+    for best in (True, False):
+        # The closest pair of a node and a component joins most of what belongs together; then come all that are left.
+        rows = graph.comp(members.select("_key", "_node"), "_node", "_comp")
+        counts = rows.groupBy("_key").agg(F.count("*").alias("_count"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
+        counts = counts.filter("_low < _high").select("_key", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
+        own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
+        dealt = rows.join(counts, "_key").join(graph.sign, "_node").withColumn("_own", own)
+        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        dealt = dealt.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp", "_sign")
+        found = dealt.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_across(graph.allowed, best), "_a long, _b long")
+        found = materialize((found.distinct() if best else found).join(done, ["_a", "_b"], "left_anti"), "rest")
+        graph.confirm(found)
+        done = done.union(found)
     return graph.labels
 
 

@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     # few has max_train rows of 60 bytes at most, whatever the size of labels.
     chosen = docs.select(docs[id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(few), "_id").select("_rank", "_label", "_text")
     got = chosen.mapInArrow(_sample_features, "_rank string, _label double, idx array<int>, val array<float>").toArrow().sort_by([("_rank", "ascending"), ("_label", "ascending")])
-    rows = [(np.asarray(i.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64)) for i, v in zip(got.column("idx"), got.column("val"), strict=True)]
+    rows = [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(got.column("idx"), got.column("val"), strict=True)]  # no copies
     return ftrl(rows, np.asarray(got.column("_label")))
 
 

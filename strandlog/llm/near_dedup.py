@@ -13,8 +13,9 @@ Not all pairs of a key are made. First each node is held against the least node
 (within a slice, then over all slices, so a key that a third of all nodes share sends one row a
 slice). Links give components. Keys whose nodes are in one component by then need nothing
 more. For the rest, signatures are held against each other across components, in blocks of at
-most BLOCK nodes; a pair comes out only if it is within the distance, and only under the first
-key that it shares.
+most BLOCK nodes: first only each node's closest neighbour comes out, which joins most of what
+belongs together, then every pair that is within the distance and still apart, only under the
+first key that it shares.
 
 Components come from minimum labels with pointer jumping, each round written to the shared
 folder. Nothing but counts reaches the driver.
@@ -45,6 +46,8 @@ from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes
 POSITIONS = 128
 #: Nodes of a key that one task holds against each other; larger keys are cut into pairs of blocks.
 BLOCK = 4096
+#: Rounds of closest neighbours before all pairs across components, and the share of keys (one in so many) for them.
+NEAREST_ROUNDS, NEAREST_KEYS = 2, 8
 #: Pairs of signatures in memory at a time.
 PAIRS = 1 << 15
 NULL_ID = 1 << 62
@@ -167,7 +170,7 @@ def _filed(allowed: int):
 def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, allowed: int, whole: bool, best: bool = False) -> np.ndarray:
     """Pairs of nodes of one key in different components and within the distance, each under the first key it shares.
 
-    With best, of a node's pairs with one component only that with the least distance.
+    With best, of each node outside the largest component only the pair with the least distance.
 
     Unless whole, only pairs of nodes from different blocks (own) count. Of two such nodes at least one is
     outside the largest component, so only those are held against all.
@@ -191,13 +194,14 @@ def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign:
         x, y = np.nonzero(ok)
         x = rows[x]
         once = ~out_of[y] | (x < y)
-        x, y = x[once], y[once]
+        if not best:
+            x, y = x[once], y[once]
         far = (sign[x] != sign[y]).sum(axis=1)
         x, y, far = (v[far <= allowed] for v in (x, y, far))
         if best and len(x):
-            order = np.lexsort((y, far, number[y], x))
+            order = np.lexsort((y, far, x))
             x, y = x[order], y[order]
-            first = np.append(True, (x[1:] != x[:-1]) | (number[y][1:] != number[y][:-1]))
+            first = np.append(True, x[1:] != x[:-1])
             x, y = x[first], y[first]
         if len(x) and best:
             out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
@@ -377,9 +381,11 @@ def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFram
     filed = graph.sign.join(alive, "_node", "left_semi").mapInArrow(_filed(graph.allowed), "_key long, _node long")
     members = materialize(filed.join(mixed, "_key", "left_semi"), "members")
     done = stars
-    for best in (True, False):
-        # The closest pair of a node and a component joins most of what belongs together; then come all that are left.
-        rows = graph.comp(members.select("_key", "_node"), "_node", "_comp")
+    for best in (*[True] * NEAREST_ROUNDS, False):
+        # Links to nodes' closest neighbours, found under a share of the keys, join most of what belongs together, with one
+        # pair a node and key. Then come all pairs that are still apart, under all keys.
+        rows = members.filter(F.pmod(F.col("_key"), F.lit(NEAREST_KEYS)) == 0) if best else members
+        rows = graph.comp(rows.select("_key", "_node"), "_node", "_comp")
         counts = rows.groupBy("_key").agg(F.count("*").alias("_count"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
         counts = counts.filter("_low < _high").select("_key", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
         own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")

@@ -5,10 +5,10 @@ first or last place. That depends on the k-mer alone, so an edit changes anchors
 where it touches them: equal passages have equal anchors at equal distances. A text
 shorter than K code points is one k-mer.
 
-A fingerprint lists the SKETCH distinct anchors with the least hashes, each as 8 hex digits
-of its hash and 6 of its first position (modulo 2 ** 24), by hash. Likeness of two
-fingerprints: among the SKETCH least hashes of both, the share that both have at matching
-positions, that is at one common displacement, within WIDTH code points.
+A fingerprint lists all distinct anchors of a text, each as 8 hex digits of its hash and 6
+of its first position (modulo 2 ** 24), by hash. Likeness of two fingerprints: among the
+hashes of either, the share that both have at matching positions, that is at one common
+displacement, within WIDTH code points.
 
 Null or empty texts have an empty fingerprint, like another empty one (1.0) and unlike all
 others (0.0). Equal texts have equal fingerprints. For neighbours, rows are ordered by
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .tables import table
 from .textvec import _U, mix64, slices, span_hashes
 
-K, S, SKETCH, WIDTH = 12, 5, 64, 64
+K, S, WIDTH = 12, 5, 64
 SLICE = 1 << 20
 
 
@@ -64,37 +64,35 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Of each text, the sketch: hash << 24 | position, by hash."""
+    """Of each text, all distinct anchors: hash << 24 | position, by hash."""
     text, position, hashes = anchors(texts)
     keys, first = np.unique((text.astype(_U) << _U(32)) | hashes, return_index=True)
     owner = (keys >> _U(32)).astype(np.int64)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     packed = ((keys & _U(0xFFFFFFFF)) << _U(24)) | (position[first].astype(_U) & _U(0xFFFFFF))
-    return [packed[a : min(a + SKETCH, b)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [packed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def written(sketch: np.ndarray) -> str:
-    digits = sketch.astype(">u8").tobytes().hex()
-    return "".join(digits[i + 2 : i + 16] for i in range(0, len(digits), 16))
+def written(found: np.ndarray) -> str:
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].tobytes().hex()
 
 
 def parsed(fingerprint: str) -> np.ndarray:
-    return np.array([int(fingerprint[i : i + 14], 16) for i in range(0, len(fingerprint), 14)], dtype=_U)
+    digits = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, 7)
+    return np.pad(digits, ((0, 0), (1, 0))).view(">u8").ravel().astype(_U)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches, from 0 to 1."""
+    """Of two fingerprints, from 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     ha, hb = a >> _U(24), b >> _U(24)
-    both = np.union1d(ha, hb)[:SKETCH]
     shared, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    near = shared <= both[-1]
-    if not near.any():
+    if not len(shared):
         return 0.0
-    moved = (a[ia[near]] & _U(0xFFFFFF)).astype(np.int64) - (b[ib[near]] & _U(0xFFFFFF)).astype(np.int64)
+    moved = (a[ia] & _U(0xFFFFFF)).astype(np.int64) - (b[ib] & _U(0xFFFFFF)).astype(np.int64)
     matched = max(np.unique((moved + half) // WIDTH, return_counts=True)[1].max() for half in (0, WIDTH // 2))
-    return float(matched) / len(both)
+    return float(matched) / (len(a) + len(b) - len(shared))
 
 
 def edited(text: str, following: str) -> str:

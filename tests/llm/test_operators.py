@@ -429,6 +429,20 @@ def test_fingerprint_likeness():
     assert fingerprints.likeness(e, e) == 1 and fingerprints.likeness(e, x) == 0
 
 
+def test_fingerprints_hold_all_anchors():
+    shared = " ".join(words(60, 3))
+    for n in (300, 3000, 20000):
+        texts = [" ".join(words(n, 2 * n + k)) + " " + shared + " " + " ".join(words(n // 2, 2 * n + k + 5)) for k in (0, 1)]
+        prints = fingerprints.fingerprints(texts)
+        text, _, hashes = fingerprints.anchors(texts)
+        for k, found in enumerate(prints):
+            assert (found >> np.uint64(24)).tolist() == sorted(set(hashes[text == k].tolist()))
+            assert (fingerprints.parsed(fingerprints.written(found)) == found).all()
+        of_passage = set(fingerprints.anchors([shared])[2].tolist())
+        assert all(of_passage <= set((found >> np.uint64(24)).tolist()) for found in prints)
+        assert fingerprints.likeness(*prints) > 0
+
+
 def test_compare_neighbours(spark, edge, nothing):
     order = sorted(edge_texts(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     want = sorted(

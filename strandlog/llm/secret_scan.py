@@ -3,11 +3,15 @@
 Patterns find assignments, access keys and long hex runs. Besides, every run of 20 or
 more characters of an identifier alphabet is scored by Markov models of characters: its
 log-likelihood under the best model of random strings (one for each alphabet) less that
-under the model of ordinary identifiers, per character. Runs above the threshold are
-spans of kind `random`, unless a pattern's span overlaps them.
+under the best model of ordinary ones, per character. Runs above the threshold are
+spans of kind `random`. What patterns' spans leave of a run on either side is judged like
+a run of its own, if it has 20 characters.
 
-The models are trained from labelled samples: random strings drawn from a seeded
-generator, and identifiers and words composed by rule from the list below.
+Ordinary are identifiers and words, and what repeats or counts: each character is the
+one 1 to 4 places before it, or follows the last one in the alphabet, but for a share of SLIPS. Long
+numbers that do neither count as random, like keys of letters alone.
+The other models are trained from labelled samples: random strings drawn from a seeded
+generator, and identifiers and words composed by rule from the lists below.
 
 A null or empty text has no spans. Very long texts are scanned whole. Rows are judged
 alone, so ties and repeated rows don't matter; an empty table gives no rows. Redaction
@@ -36,6 +40,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Log-likelihood ratio per character above which a run counts as random.
 THRESHOLD = 0.35
+LEAST, PERIODS, SLIPS = 20, 4, 0.1
 
 WORDS = (
     "the of and to in is that for was with his they have from are this not but had she which you one were all their there been many "
@@ -47,6 +52,10 @@ WORDS = (
     "der die das und ein eine nicht mit sich auf werden haben sein auch nach bei einer oder les des est pas pour dans qui que une sur "
     "avec par plus los las una por con para como pero sus más este entre cuando todo desde nos durante estados"
 ).split()
+ENDINGS = (
+    "tion ation ition ction ization sion ment able ible ness less ful ship ance ence ity ism ist ing ings ally ously ology graphy keit heit lich ung schaft isch igkeit "
+    "lichkeit ement eaux eur euse elle ette aire ique mente miento idad cion ador encia ando iendo"
+).split()
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "abcdefghijklmnopqrstuvwxyz0123456789")
 SYMBOLS = ALPHABETS[4]
 
@@ -76,6 +85,9 @@ def samples(n: int = 1500, seed: int = 8) -> list[tuple[str, int]]:
         out.append((text, 0))
     for a, letters in enumerate(ALPHABETS):
         out += [("".join(r.choice(letters) for _ in range(r.randint(20, 44))), 1 + a) for _ in range(n)]
+    for _ in range(n):
+        text = "".join(r.choice(plain) + r.choice(ENDINGS) for _ in range(r.randint(3, 5)))
+        out.append((text.upper() if r.random() < 0.1 else text, 0))
     return out
 
 
@@ -96,12 +108,19 @@ def _model() -> tuple[np.ndarray, np.ndarray]:
     return fit(samples()), place
 
 
+def _regular(at: np.ndarray) -> float:
+    """Log-likelihood of all symbols but the first, if they repeat or count."""
+    hits = max(int((at[1:] == at[:-1] + 1).sum()), *(int((at[p:] == at[:-p]).sum()) for p in range(1, PERIODS + 1)))
+    slip = SLIPS / len(SYMBOLS)
+    return hits * np.log(1 - SLIPS + slip) + (len(at) - 1 - hits) * np.log(slip)
+
+
 def ratio(run: str) -> float:
     """Log-likelihood ratio per character, random against ordinary."""
     tables, place = _model()
     at = place[np.frombuffer(run.encode(), np.uint8)]
     likely = tables[:, at[:-1], at[1:]].sum(axis=1)
-    return float((likely[1:].max() - likely[0]) / (len(run) - 1))
+    return float((likely[1:].max() - max(likely[0], _regular(at))) / (len(run) - 1))
 
 
 def spans(text: str) -> list[tuple[int, str, int]]:
@@ -113,14 +132,18 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    base, passed = sorted(found), 0
     for m in RUN.finditer(text):
         s, e = m.span()
-        if any(b < e and s < f for b, _, f in base):
-            continue
-        run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and ratio(run) > THRESHOLD:
-            found.append((s, 3, e))
+        while passed < len(base) and base[passed][2] <= s:
+            passed += 1
+        at = passed
+        while s < e:
+            b, _, f = base[at] if at < len(base) else (e, 3, e)
+            b, at = min(b, e), at + 1
+            if b - s >= LEAST and ratio(text[s:b]) > THRESHOLD:
+                found.append((s, 3, b))
+            s = max(s, f)
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 

@@ -3,9 +3,10 @@
 Documents fall into cells of source, language and topic. The cells' token weights are raked:
 scaled to the target share of each source, then of each language, then of each topic, over
 and over, so that all three marginals are met while the corpus's own associations stay.
-A cell's keep probability is its weight over its tokens, times one factor that makes the
-expected tokens kept the budget; cells that would exceed 1 are kept whole and the factor
-grows for the rest. A document stays if a number in [0, 1) from md5 of seed and id is below
+A cell's keep probability is its weight over its tokens, times one factor. Without a budget
+that is the greatest factor at which no cell exceeds 1, so no more tokens go than the targets
+need; with one it makes the expected tokens kept the budget's share, and cells that would
+exceed 1 are kept whole and the factor grows for the rest. A document stays if a number in [0, 1) from md5 of seed and id is below
 its cell's probability.
 
 Targets are shares proportional to tokens to a power (0.5 for sources, 0.7 for languages, 1
@@ -33,6 +34,7 @@ from .tables import table
 
 ROUNDS = 12
 ROUNDS_A_TABLE = 4
+#: The share of tokens that op7's query keeps, as its SQL states.
 BUDGET = 0.5
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 MAX_CELLS = 20_000
@@ -83,12 +85,16 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float],
     return out.drop(*[f"_t_{name}" for name in targets])
 
 
-def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """cells with p: keep probabilities in proportion to weight over tokens whose expected tokens are the budget's share."""
+def calibrated(cells: DataFrame, budget: float | None = None) -> DataFrame:
+    """cells with p: keep probabilities in proportion to weight over tokens whose expected tokens are the budget's share, or as many as can be."""
     names = [c for c in cells.columns if c not in ("tokens", "weight")]
     order = W.orderBy(F.col("_ratio").desc(), *names)
     every = W.partitionBy()
     out = cells.withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
+    if budget is None:
+        most = F.max("_ratio").over(every)
+        p = F.when(F.col("_ratio").isNull(), 1.0).otherwise(F.coalesce(F.col("_ratio") / F.when(most > 0, most), F.lit(0.0)))
+        return out.select(*names, "tokens", "weight", p.alias("p"))
     out = out.withColumns({
         "_need": F.sum("tokens").over(every) * budget,
         "_before": F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
@@ -111,7 +117,7 @@ def draw(id: Column, seed: str = SEED) -> Column:
 
 def mix(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None,
-    targets: Mapping[str, Mapping[str, float] | float] = POWERS, budget: float = BUDGET, out: str = "mix",
+    targets: Mapping[str, Mapping[str, float] | float] = POWERS, budget: float | None = None, out: str = "mix",
 ) -> DataFrame:
     """docs with a struct column out: source, lang, topic, n_tokens, weight and p of the cell, kept."""
     docs = docs.drop(out)
@@ -135,7 +141,7 @@ def sample(docs: DataFrame, out: str = "_mix", **given) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), budget=BUDGET)
     m = F.col("mix")
     return mixed.select("doc_id", *[m[c].alias(c) for c in ("source", "lang", "topic", "n_tokens")], F.round(m["p"], 9).alias("p"), m["kept"].alias("kept"))
 

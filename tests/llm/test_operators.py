@@ -307,6 +307,19 @@ def test_mixing_meets_marginals_and_budget(spark):
     assert out[out.kept].n_tokens.sum() == pytest.approx(0.3 * out.n_tokens.sum(), rel=0.1)
 
 
+def test_mixing_without_a_budget_keeps_what_the_targets_allow(spark):
+    rows = [(i, "w " * (1 + i % 9), ["a", "b", "c"][i % 7 % 3], ["en", "de"][i % 5 % 2]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert mixing.mix(docs, targets={"source": 1.0, "lang": 1.0}, topic=F.lit("t")).filter("mix.p < 1 - 1e-9").count() == 0
+    targets = {"source": {"a": 0.5, "b": 0.25, "c": 0.25}, "lang": {"en": 0.5, "de": 0.5}}
+    out = mixing.mix(docs, targets=targets, topic=F.lit("t")).select("mix.*").toPandas()
+    kept = out.p * out.n_tokens
+    assert out.p.max() == 1 and out.p.min() > 0
+    for name, target in targets.items():
+        assert (kept.groupby(out[name]).sum() / kept.sum()).to_dict() == pytest.approx(target, abs=1e-3)
+    assert mixing.mix(docs, targets={"lang": {"xx": 1.0}}, topic=F.lit("t")).filter("mix.kept").count() == 0
+
+
 def test_mixing_edges(edge, nothing):
     out = mixing.sample(edge)
     assert out.schema == edge.drop("_mix").schema and mixing.mix(edge).count() == edge.count()

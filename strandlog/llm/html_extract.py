@@ -7,7 +7,9 @@ Gini) is trained when first needed, on a small labelled table: blocks of pages c
 rule from a seeded generator, where the words of a block tell its label.
 
 Scripts, styles, comments, forms' controls and other elements whose content isn't text are
-skipped; character references are decoded; white space within a block becomes one blank;
+skipped, as is what stands in for an object or a script that a browser runs. Without an end tag, script,
+style, textarea and title go on to the end of the page; of the others the tag alone is
+dropped. Formulas are text, but for their annotations; character references are decoded; white space within a block becomes one blank;
 blocks are joined by one line break, in page order. `br` is white space.
 
 A null or empty page, or one without an article, has the text ''. A tag cut off by the end
@@ -45,7 +47,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = RAW | frozenset("noscript template svg annotation annotation-xml iframe object select button canvas audio video".split())
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 FURNITURE_WORDS = frozenset(
@@ -80,6 +83,32 @@ def _hints(name: str, attrs: str) -> int:
     return found
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    done = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return done.end() if done else len(page)
+
+
+def _pairs(page: str, at: int) -> dict[int, int]:
+    """Of every skipped element after at that has an end tag, the end of its start tag and that of its end tag."""
+    out: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if name not in SKIPPED:
+            continue
+        if m["close"]:
+            if open_at.get(name):
+                out[open_at[name].pop()] = at
+        elif not (m["attrs"] or "").rstrip().endswith("/"):
+            if name in RAW:
+                at = _raw_end(page, name, at)
+            else:
+                open_at.setdefault(name, []).append(at)
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
     """(text, words, words in links, in article, in furniture, tag) of every block with a word."""
     out: list[tuple[str, int, int, int, int, str]] = []
@@ -87,6 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
     linked: list[str] = []
     open_elements: list[tuple[str, int, int]] = []  # name, in article, in furniture
     anchors, tag = 0, ""
+    pairs: dict[int, int] | None = None
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -125,8 +155,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
         attrs = m["attrs"] or ""
         if name in SKIPPED:
             if not attrs.rstrip().endswith("/"):
-                done = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = done.end() if done else end
+                if name in RAW:
+                    at = _raw_end(page, name, at)
+                else:
+                    pairs = _pairs(page, m.start()) if pairs is None else pairs
+                    at = pairs.get(at, at)
             parts.append(" ")
         elif name == "a":
             anchors = 1

@@ -156,6 +156,19 @@ def test_html_unclosed_tags_are_linear():
     assert html_extract.main_text("<article><p>" + "<a b=" * 20000) == ""
 
 
+def test_html_skipped_elements_without_end_tag():
+    for name in ("button", "svg", "object", "canvas", "select", "audio", "video", "iframe", "noscript", "template"):
+        cut = f"<article><p>One two three.</p><{name} class=x><p>Four five six.</p></article>"
+        assert html_extract.main_text(cut) == "One two three.\nFour five six."
+        assert html_extract.main_text(cut + f"<div class=ad><{name}>Buy</{name}></div>") == "One two three.\nFour five six."
+        assert html_extract.main_text(f"<article><p>One <{name}>no <{name}>nor</{name}> <!-- <{name}> --> this</{name}> two.</p></article>") == "One two."
+    for name in ("script", "style", "textarea", "title"):
+        assert html_extract.main_text(f"<article><p>One two three.</p><{name}><p>Four five six.</p></article>") == "One two three."
+    formula = "<math><semantics><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a+b</annotation></semantics></math>"
+    assert html_extract.main_text(f"<article><p>The sum {formula} is even.</p></article>") == "The sum a+b is even."
+    assert html_extract.main_text("<article>" + "<button>" * 20000 + "<p>Last words here.</p></article>") == "Last words here."
+
+
 # 4
 
 

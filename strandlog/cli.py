@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from strandlog import errors
 from strandlog import model as M
 from strandlog.config import duration_ms, load
+from strandlog.workspace import new_path
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     subscribe.add_argument("--consumer", default="")
     subscribe.add_argument("--start", type=int)
     subscribe.add_argument("--limit", type=int, default=0)
+    subscribe.add_argument("--follow", action="store_true", help="go on as records are published")
+    subscribe.add_argument("--timeout", default="0", help="with --follow: end after this time; 0 never does")
+    subscribe.add_argument("--checkpoint", help="with --follow: where progress is kept, to go on from there")
     ack = commands.add_parser("ack")
     for name in ("consumer", "topic"):
         ack.add_argument(name)
@@ -76,6 +80,13 @@ def run(argv: list[str], spark=None, out=sys.stdout) -> int:
             bodies = args.message or ([sys.stdin.read()] if not sys.stdin.isatty() else [])
             first, end = engine.publish(args.topic, [{"key": args.key, "payload": b} for b in bodies])
             say(*range(first, end))
+        elif args.command == "subscribe" and args.follow:
+            emit = lambda rows, _: [print(line, file=out, flush=True) for line in lines(rows)]
+            query = engine.subscribe(args.topic, emit, args.checkpoint or new_path(spark, "progress"), args.consumer, args.start, follow=True)
+            try:
+                query.awaitTermination(*([duration_ms(args.timeout) / 1000] if duration_ms(args.timeout) > 0 else []))
+            finally:
+                query.stop()
         elif args.command == "subscribe":
             for line in lines(engine.read(args.topic, engine.start_position(args.topic, args.consumer, args.start), args.limit)):
                 say(line)

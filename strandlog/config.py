@@ -43,6 +43,7 @@ class Config:
     retention_interval_ms: float = M.RETENTION_SWEEP_S * 1000.0
     read_limit: int = M.READ_LIMIT
     read_max_bytes: int = M.READ_MAX_BYTES
+    grace_ms: float = 3_600_000.0  # for which dropped files stay, as readers of older manifests need them
 
     def problems(self) -> list[str]:
         """All that is wrong, not just the first."""
@@ -55,6 +56,7 @@ class Config:
             f"sync_mode {self.sync_mode!r} must be one of {', '.join(SYNC_MODES)}": self.sync_mode in SYNC_MODES,
             "sync_interval must be positive in interval mode": self.sync_mode != "interval" or self.sync_interval_ms > 0,
             "retention_interval must not be negative": self.retention_interval_ms >= 0,
+            "grace must not be negative": self.grace_ms >= 0,
             "read_limit must be positive": self.read_limit > 0,
             "read_max_bytes must be positive": self.read_max_bytes > 0,
         }
@@ -67,7 +69,7 @@ def load(path: str | None = None, environment: Mapping[str, str] = os.environ) -
     if path:
         with open(path) as f:
             given = {k.replace("-", "_"): v for k, v in json.load(f).items()}
-        for name in ("sync_interval", "retention_interval"):
+        for name in ("sync_interval", "retention_interval", "grace"):
             if name in given:
                 given[name + "_ms"] = duration_ms(given.pop(name))
         if unknown := set(given) - {f.name for f in fields(Config)}:

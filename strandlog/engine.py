@@ -1,12 +1,13 @@
 """The engine: topics, publishing, reading, cursors, maintenance and lifecycle over log tables.
 
-One engine writes a data directory. Appends to a topic are serialised by a lock; each
-publish is one batch, visible once its manifest is. Delivery is at least once.
+Appends to a topic are serialised by a lock within an engine and by numbered manifests between engines; each
+publish is one batch, visible once its manifest is. Delivery is at least once, in order, in bounded chunks.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
 import uuid
@@ -20,10 +21,14 @@ from strandlog import model as M
 from strandlog.config import Config
 from strandlog.functions import checks, frames
 from strandlog.operators import log as ops
-from strandlog.sources.table_log import Manifest, Segment, TableLog, read_text, replace_text
+from strandlog.sources.table_log import Conflict, Manifest, Segment, TableLog, listed, read_text, replace_text
 from strandlog.streaming import follow as streams
+from strandlog.workspace import file_system
 
 SCHEMA_VERSION = 1
+#: Times that a write tries again after another engine committed first.
+ATTEMPTS = 8
+logger = logging.getLogger("strandlog")
 
 
 def _now_ms() -> int:
@@ -36,6 +41,9 @@ class Engine:
         self.state, self.started_ms, self.identity = "starting", 0, {}
         self._locks: dict[str, threading.Lock] = {}
         self._guard = threading.Lock()
+        self._halt, self._ticker = threading.Event(), None
+        self._counts: dict[tuple[str, str], int] = {}
+        logger.setLevel({"warn": "WARNING"}.get(self.config.log_level, self.config.log_level.upper()))
 
     # Lifecycle
 
@@ -55,13 +63,61 @@ class Engine:
             raise E.LogError(f"metadata version {stored['schema_version']} isn't {SCHEMA_VERSION}")
         self.identity = stored
         for name in self._json("catalog.json", {}):
-            if self._log(name).manifest() is None:
-                self._log(name).create()
+            self._recover(name)
         self.started_ms = self.clock()
         self._to("running")
+        logger.info("running on %s as broker %s", self.root, stored["broker"])
         return self
 
+    def _recover(self, name: str) -> None:
+        """Make a log that storage lacks, tell the feed of commits it lacks, and delete what no commit named."""
+        table = self._log(name)
+        manifest = table.manifest()
+        if manifest is None:
+            logger.warning("topic %s had no log; it has an empty one now", name)
+            return table.create()
+        if (told := max(table.announced(), manifest.log_start)) < manifest.leo:
+            table.announce(told, manifest.leo, manifest.number)
+        if gone := table.collect(self.clock(), self.config.grace_ms):
+            logger.info("topic %s: removed %d files that nothing names", name, len(gone))
+
+    def watch(self) -> Engine:
+        """Sweep now, and again every retention_interval until stop()."""
+        self._running()
+
+        def run() -> None:
+            while self.state == "running":
+                try:
+                    self.sweep()
+                except Exception:
+                    logger.exception("sweep failed")
+                if self._halt.wait(max(0.001, self.config.retention_interval_ms / 1000)):
+                    return
+
+        if self.config.retention_interval_ms > 0 and self._ticker is None:
+            self._ticker = threading.Thread(target=run, name="strandlog-retention", daemon=True)
+            self._ticker.start()
+        return self
+
+    def health(self) -> tuple[bool, str]:
+        """Whether the engine serves, and its state."""
+        return self.state == "running", self.state
+
+    def _count(self, topic: str, **counts: int) -> None:
+        with self._guard:
+            for name, n in counts.items():
+                self._counts[topic, name] = self._counts.get((topic, name), 0) + n
+
+    def metrics(self) -> DataFrame:
+        """Counters since the start by topic and name: records, bytes and batches published, chunks delivered, acks, segments and bytes trimmed."""
+        with self._guard:
+            rows = [(t, n, v) for (t, n), v in self._counts.items()]
+        return self.spark.createDataFrame(rows, "topic string, name string, value long").orderBy("topic", "name")
+
     def stop(self) -> None:
+        self._halt.set()
+        if self._ticker is not None and self._ticker is not threading.current_thread():
+            self._ticker.join()
         if self.state == "running":
             self._to("draining")
         self._to("stopping")
@@ -122,6 +178,7 @@ class Engine:
             catalog[name] = {"partitions": partitions, "created_ms": topic.created_ms, "config": vars(config)}
             self._log(name).create()
             self._save("catalog.json", catalog)
+        logger.info("created topic %s", name)
         return topic
 
     def delete_topic(self, name: str) -> None:
@@ -133,9 +190,11 @@ class Engine:
                 raise E.NotFound(f"topic {name!r} not found")
             del catalog[name]
             self._save("catalog.json", catalog)
-            cursors = self._json("cursors.json", {})
-            self._save("cursors.json", {c: {t: o for t, o in of.items() if t != name} for c, of in cursors.items()})
+            for consumer, _ in listed(self.spark, f"{self.root}/cursors"):
+                fs, where = file_system(self.spark, f"{self.root}/cursors/{consumer}/{name}.json")
+                fs.delete(where, False)
             self._log(name).drop()
+        logger.info("deleted topic %s", name)
 
     def topics(self) -> DataFrame:
         """The catalog by name."""
@@ -170,27 +229,45 @@ class Engine:
         if bad:
             raise E.InvalidMessage(bad)
         with self._lock(topic):
-            manifest = table.manifest() or Manifest()
-            now = self.clock()
-            base = manifest.leo
-            rows = ops.assign_offsets(rows.withColumn("topic", F.lit(topic)), order, F.lit(0), next_offset=F.lit(base)) if order == ["_place"] else self._numbered(rows, topic, order, base)
-            given_id = F.when(F.col("event_id") == "", frames.ulid(F.lit(now), F.concat_ws(":", "topic", F.col("offset").cast("string")))).otherwise(F.upper("event_id"))
-            rows = rows.withColumns({"event_id": given_id, "timestamp_ms": F.lit(now), "partition": F.lit(partition), "batch_base": F.lit(base)})
-            fields = {c: F.col(c) for c in M.SYSTEM_FIELDS}
-            rows = rows.withColumn("frame_bytes", frames.record_bytes(F.col("key"), F.col("payload"), F.col("headers"), fields)).withColumn("segment_base", F.lit(0).cast("long"))
-            names = [c.split()[0] for c in M.LOG_SCHEMA.split(", ")]
-            staged = table.stage(rows.select(*names).sortWithinPartitions("offset"))
-            size = frames.BATCH_HEADER + self.spark.read.parquet(staged).agg(F.sum("frame_bytes")).first()[0]
-            active = manifest.segments[-1] if manifest.segments else None
-            if active is None or active.bytes > 0 and active.bytes + size > self.config.segment_bytes:
-                active = Segment(base, base, 0, 0)
-                manifest.segments.append(active)
-            active.paths.append(table.publish(staged, active.base, base))
-            active.batches.append([base, base + n, size, now])
-            active.next_offset, active.bytes, active.last_timestamp_ms = base + n, active.bytes + size, now
-            manifest.leo = base + n
-            table.commit(manifest)
-        return base, base + n
+            base, end, size = self._retried(lambda: self._append(found, table, rows, order, partition))
+        self._count(topic, published_records=n, published_bytes=size, published_batches=1)
+        return base, end
+
+    @staticmethod
+    def _retried(write: Callable):
+        """The result of write, which is tried again if another engine commits first."""
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return write()
+            except Conflict:
+                logger.info("another engine committed first; trying again")
+        return write()
+
+    def _append(self, found: M.Topic, table: TableLog, rows: DataFrame, order: list[str], partition: int) -> tuple[int, int, int]:
+        topic = found.name
+        manifest = table.manifest() or Manifest()
+        now = self.clock()
+        base = manifest.leo
+        rows = ops.assign_offsets(rows.withColumn("topic", F.lit(topic)), order, F.lit(0), next_offset=F.lit(base)) if order == ["_place"] else self._numbered(rows, topic, order, base)
+        given_id = F.when(F.col("event_id") == "", frames.ulid(F.lit(now), F.concat_ws(":", "topic", F.col("offset").cast("string")))).otherwise(F.upper("event_id"))
+        rows = rows.withColumns({"event_id": given_id, "timestamp_ms": F.lit(now), "partition": F.lit(partition), "batch_base": F.lit(base)})
+        fields = {c: F.col(c) for c in M.SYSTEM_FIELDS}
+        rows = rows.withColumn("frame_bytes", frames.record_bytes(F.col("key"), F.col("payload"), F.col("headers"), fields)).withColumn("segment_base", F.lit(0).cast("long"))
+        names = [c.split()[0] for c in M.LOG_SCHEMA.split(", ")]
+        staged = table.stage(rows.select(*names).sortWithinPartitions("offset"))
+        n, size = self.spark.read.parquet(staged).agg(F.count("*"), F.sum("frame_bytes")).first()
+        size += frames.BATCH_HEADER
+        active = manifest.segments[-1] if manifest.segments else None
+        if active is None or active.bytes > 0 and active.bytes + size > self.config.segment_bytes:
+            active = Segment(base, base, 0, 0)
+            manifest.segments.append(active)
+        active.paths.append(table.publish(staged, active.base, base))
+        active.batches.append([base, base + n, size, now])
+        active.next_offset, active.bytes, active.last_timestamp_ms = base + n, active.bytes + size, now
+        manifest.leo = base + n
+        table.commit(manifest)
+        table.announce(base, base + n, manifest.number)
+        return base, base + n, size
 
     def _listed(self, listed: list[dict]) -> DataFrame:
         kinds = {"headers": "map<string,string>", "payload": "binary", "retry_count": "int", "priority": "int", "schema_version": "int", "ttl_ms": "long"}
@@ -224,29 +301,45 @@ class Engine:
         return (self._found(topic)[1].manifest() or Manifest()).leo
 
     def read(self, topic: str, start: int = 0, limit: int = 0, max_bytes: int = 0) -> DataFrame:
-        """A snapshot of the records from start on, bounded like a single read."""
+        """A snapshot of the records from start on by offset: at most limit, and none beyond max_bytes of payload but the first."""
         self._running()
         _, table = self._found(topic)
         if start < 0:
             raise E.OutOfRange("negative offset")
-        return ops.read_bounded(table.read(start), start, limit, max_bytes)
+        return self._bounded(table.read(start), start, limit, max_bytes)
+
+    @staticmethod
+    def _bounded(rows: DataFrame, start: int, limit: int, max_bytes: int) -> DataFrame:
+        rows = rows.orderBy("offset").limit(limit) if limit > 0 else rows  # the first of each task, then of those
+        return ops.read_bounded(rows, start, 0, max_bytes).orderBy("offset")
 
     def start_position(self, topic: str, consumer: str = "", start: int | None = None) -> int:
         """Explicit start, else the stored cursor, else 0; beyond the end is out of range."""
-        position = start if start is not None else self._json("cursors.json", {}).get(consumer, {}).get(topic, 0) if consumer else 0
+        position = start if start is not None else self._json(f"cursors/{consumer}/{topic}.json", 0) if consumer else 0
         if position < 0 or position > self.leo(topic):
             raise E.OutOfRange(f"offset {position} is outside the log of {topic!r}")
         return position
 
     def subscribe(self, topic: str, emit: Callable[[DataFrame, int], None], checkpoint: str, consumer: str = "", start: int | None = None, follow: bool = False):
-        """Deliver records in chunks of files as they are published; returns the streaming query."""
+        """Deliver committed records in order, in chunks of read_limit records and read_max_bytes; returns the streaming query.
+
+        emit gets each chunk, ordered by offset, and its number.
+        """
         self._running()
         self._consumer(consumer, optional=True)
         _, table = self._found(topic)
         position = self.start_position(topic, consumer, start)
-        schema = self.spark.createDataFrame([], M.LOG_SCHEMA).schema
-        stream = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").parquet(f"{table.path}/segment=*")
-        return streams.deliver(stream.filter(F.col("offset") >= position), lambda rows, i: emit(rows.orderBy("offset"), i), checkpoint, follow)
+
+        def chunk(at: int, end: int) -> tuple[DataFrame, int] | None:
+            rows = self._bounded(table.read(at, end=end), at, self.config.read_limit, self.config.read_max_bytes)
+            n, last = rows.agg(F.count("*"), F.max("offset")).first()
+            if not n:
+                return None
+            self._count(topic, delivered_records=n, delivered_chunks=1)
+            return table.read(at, end=last + 1).orderBy("offset"), last + 1
+
+        feed = self.spark.readStream.schema("base long, end long").json(f"{table.path}/feed")
+        return streams.deliver(feed, chunk, emit, checkpoint, position, follow)
 
     # Cursors
 
@@ -263,13 +356,14 @@ class Engine:
         self._found(topic, partition)
         if offset < 0:
             raise E.InvalidMessage("negative offset")
-        with self._guard:
-            cursors = self._json("cursors.json", {})
-            of = cursors.setdefault(consumer, {})
-            if topic not in of or offset > of[topic]:
-                of[topic] = offset
-                self._save("cursors.json", cursors)
-            return of[topic]
+        with self._lock(f"{consumer}/{topic}"):
+            name = f"cursors/{consumer}/{topic}.json"
+            stored = self._json(name, None)
+            if stored is None or offset > stored:
+                self._save(name, offset)
+                stored = offset
+        self._count(topic, acks=1)
+        return stored
 
     # Maintenance
 
@@ -278,7 +372,7 @@ class Engine:
         self._running()
         found, table = self._found(topic)
         now = self.clock() if now_ms is None else now_ms
-        with self._lock(topic):
+        def run() -> M.TrimResult:
             manifest = table.manifest() or Manifest()
             segments, age, limit = manifest.segments, found.config.retention_ms, found.config.retention_bytes
             cut = 0
@@ -291,9 +385,27 @@ class Engine:
             gone, manifest.segments = segments[:cut], segments[cut:]
             if gone:
                 manifest.log_start = manifest.segments[0].base
+                self._drop(table, manifest, gone)
                 table.commit(manifest)
-                table.remove([p for s in gone for p in s.paths])
-        return M.TrimResult(len(gone), sum(s.bytes for s in gone))
+            return M.TrimResult(len(gone), sum(s.bytes for s in gone))
+
+        with self._lock(topic):
+            done = self._retried(run)
+        if done.segments:
+            self._count(topic, trimmed_segments=done.segments, trimmed_bytes=done.bytes)
+            logger.info("topic %s: trimmed %d segments of %d bytes", topic, done.segments, done.bytes)
+        return done
+
+    def _drop(self, table: TableLog, manifest: Manifest, segments: list[Segment]) -> None:
+        """Note what the manifest no longer names; readers of older manifests may still need it."""
+        manifest.gone += [[p, self.clock()] for s in segments for p in [*table.load(s).paths, *([s.listed] if s.listed else [])]]
+
+    def collect(self, topic: str) -> list[str]:
+        """Delete what was dropped, or written and never committed, longer ago than grace_ms."""
+        self._running()
+        _, table = self._found(topic)
+        with self._lock(topic):
+            return self._retried(lambda: table.collect(self.clock(), self.config.grace_ms))
 
     def sweep(self, now_ms: int | None = None) -> dict[str, M.TrimResult | str]:
         """Trim every topic with the delete policy and a limit; one topic's failure doesn't stop the others."""
@@ -302,7 +414,9 @@ class Engine:
         for row in eligible.select("name").toLocalIterator():
             try:
                 out[row["name"]] = self.trim(row["name"], now_ms)
+                self.collect(row["name"])
             except Exception as error:  # reported, and the sweep goes on
+                logger.warning("sweep of topic %s failed: %s", row["name"], error)
                 out[row["name"]] = str(error)
         return out
 
@@ -312,22 +426,28 @@ class Engine:
         if to < 0:
             raise E.OutOfRange("negative offset")
         _, table = self._found(topic)
-        with self._lock(topic):
+        def run() -> int:
             manifest = table.manifest() or Manifest()
             if to >= manifest.leo:
                 return manifest.leo
             gone, kept = [], []
-            for s in manifest.segments:
+            for s in map(table.load, manifest.segments):
                 stay = [i for i, b in enumerate(s.batches) if b[0] < to]
-                gone += [p for i, p in enumerate(s.paths) if i not in stay]
-                batches = [s.batches[i] for i in stay]
-                if batches:
+                if len(stay) == len(s.batches):
+                    kept.append(s)
+                    continue
+                gone.append(Segment(s.base, s.next_offset, 0, 0, [p for i, p in enumerate(s.paths) if i not in set(stay)], listed=s.listed))
+                if stay:
+                    batches = [s.batches[i] for i in stay]
                     kept.append(Segment(s.base, batches[-1][1], sum(b[2] for b in batches), batches[-1][3], [s.paths[i] for i in stay], batches))
             manifest.segments, manifest.leo = kept, kept[-1].next_offset if kept else manifest.log_start
+            self._drop(table, manifest, gone)
             table.commit(manifest)
-            table.remove(gone)
             return manifest.leo
 
+        with self._lock(topic):
+            return self._retried(run)
+
     def compact(self, topic: str) -> int:
         """Rewrite sealed segments of a topic with the compact policy, keeping each key's last record; returns records removed.
 
@@ -337,25 +457,28 @@ class Engine:
         found, table = self._found(topic)
         if found.config.cleanup != "compact":
             raise E.InvalidArgument(f"topic {topic!r} isn't compacted")
-        with self._lock(topic):
+        def run() -> int:
             manifest = table.manifest() or Manifest()
             sealed = manifest.segments[:-1]
             if not sealed:
                 return 0
+            active = manifest.segments[-1].base
             every = table.read(manifest.log_start, manifest)
-            kept = ops.compact(every, F.lit(manifest.segments[-1].base)).filter(F.col("offset") < manifest.segments[-1].base)
+            kept = ops.compact(every, F.lit(active)).filter(F.col("offset") < active)
             staged = table.stage(kept)
-            rows = self.spark.read.parquet(staged)
-            n, size, last = rows.agg(F.count("*"), F.sum("frame_bytes"), F.max_by("timestamp_ms", "offset")).first()
-            before = every.filter(F.col("offset") < manifest.segments[-1].base).count()
+            n, size, last = self.spark.read.parquet(staged).agg(F.count("*"), F.sum("frame_bytes"), F.max_by("timestamp_ms", "offset")).first()
+            before = every.filter(F.col("offset") < active).count()
             base, end = sealed[0].base, sealed[-1].next_offset
             path = table.publish(staged, base, base)
             merged = Segment(base, end, size or 0, last or 0, [path], [[base, end, size or 0, last or 0]])
             manifest.segments = [merged, manifest.segments[-1]]
+            self._drop(table, manifest, sealed)
             table.commit(manifest)
-            table.remove([p for s in sealed for p in s.paths])
             return before - n
 
+        with self._lock(topic):
+            return self._retried(run)
+
     def verify(self, topic: str) -> DataFrame:
         """Records, gaps and missing records between the first and the last offset."""
         return ops.gaps(self._found(topic)[1].read())

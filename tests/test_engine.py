@@ -1,6 +1,8 @@
 """The engine end to end: publish, read, resume, follow, retention, truncation, compaction, restart."""
 
 import io
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from strandlog import model as M
 from strandlog.cli import run
 from strandlog.config import Config
 from strandlog.engine import Engine
+from strandlog.sources.table_log import Conflict, TableLog
 
 
 class Clock:
@@ -181,3 +184,130 @@ def test_command_line(spark, tmp_path, capsys):
     assert do("ack", "c", "t", "1") == (0, ["1"]) and do("subscribe", "t", "--consumer", "c")[1][0].startswith("1\t")
     assert do("topics", "delete", "nope")[0] == 1 and "NotFound" in capsys.readouterr().err
     assert dict(line.split("\t") for line in do("info")[1])["n_topics"] == "1"
+    code, lines = do("subscribe", "t", "--follow", "--timeout", "8s")
+    assert code == 0 and [x.split("\t")[::2] for x in lines] == [["0", "one"], ["1", "two"]]
+
+
+def test_delivery_in_bounded_ordered_chunks(engine, tmp_path):
+    engine.config = Config(segment_bytes=600, read_limit=3, read_max_bytes=20)
+    engine.create_topic("t")
+    engine.publish("t", [{"payload": "x" * 4}] * 5)
+    engine.publish("t", [{"payload": "y" * 30}, {"payload": "z" * 15}, {"payload": "z" * 5}, {"payload": "z"}])
+    got = []
+    engine.subscribe("t", lambda rows, i: got.append((i, [r["offset"] for r in rows.collect()])), str(tmp_path / "p")).awaitTermination()
+    assert got == [(0, [0, 1, 2]), (1, [3, 4]), (2, [5]), (3, [6, 7]), (4, [8])]
+    assert {r["name"]: r["value"] for r in engine.metrics().collect() if r["name"].startswith("delivered")} == {"delivered_records": 9, "delivered_chunks": 5}
+
+
+def test_what_was_not_committed_is_not_delivered(engine, spark, tmp_path, monkeypatch):
+    engine.create_topic("t")
+    engine.publish("t", [{"payload": "a"}] * 2)
+    got = []
+    go = lambda e: e.subscribe("t", lambda rows, _: got.extend((r["offset"], bytes(r["payload"])) for r in rows.collect()), str(tmp_path / "p")).awaitTermination()
+    commit = TableLog.commit
+
+    def fail(*_):
+        raise OSError("no space")
+
+    monkeypatch.setattr(TableLog, "commit", fail)
+    with pytest.raises(OSError):
+        engine.publish("t", [{"payload": "lost"}])
+    monkeypatch.setattr(TableLog, "commit", commit)
+    go(engine)
+    assert got == [(0, b"a"), (1, b"a")] and engine.leo("t") == 2
+    engine.publish("t", [{"payload": "b"}])
+    go(engine)
+    assert got[2:] == [(2, b"b")]
+    # The batch whose commit failed goes at the next start, once the grace time is over.
+    left = lambda: sum(len(files) for _, _, files in os.walk(tmp_path / "data/topics/t/segment=00000000000000000000"))
+    before = left()
+    again = Engine(spark, engine.root, Config(segment_bytes=600, grace_ms=0), lambda: int(time.time() * 1000) + 1).start()
+    assert left() < before and offsets(again.read("t")) == [0, 1, 2]
+
+
+def test_a_commit_the_feed_missed_is_delivered_after_a_restart(engine, spark, tmp_path, monkeypatch, clock):
+    engine.create_topic("t")
+    monkeypatch.setattr(TableLog, "announce", lambda *_: None)
+    engine.publish("t", [{"payload": "a"}] * 3)
+    monkeypatch.undo()
+    got = []
+    again = Engine(spark, engine.root, engine.config, clock).start()
+    again.subscribe("t", lambda rows, _: got.extend(offsets(rows)), str(tmp_path / "p")).awaitTermination()
+    assert got == [0, 1, 2]
+
+
+def test_compaction_does_not_deliver_again(engine, tmp_path):
+    engine.create_topic("t", M.TopicConfig(cleanup="compact"))
+    for k in "abab":
+        engine.publish("t", [{"key": k, "payload": "x" * 300}])
+    got = []
+    go = lambda path: engine.subscribe("t", lambda rows, _: got.extend(offsets(rows)), str(tmp_path / path)).awaitTermination()
+    go("p")
+    engine.compact("t")
+    go("p")
+    assert got == [0, 1, 2, 3]
+    engine.publish("t", [{"key": "a", "payload": ""}])
+    go("p")
+    assert got == [0, 1, 2, 3, 4]
+    got.clear()
+    go("other")
+    assert got == [2, 3, 4]
+
+
+def test_limits_count_records_not_offsets(engine):
+    engine.create_topic("t", M.TopicConfig(cleanup="compact"))
+    for k in "aabaacaaad":
+        engine.publish("t", [{"key": k, "payload": "x" * 200}])
+    engine.publish("t", [{"key": "z", "payload": "x"}])
+    engine.compact("t")
+    left = [r["offset"] for r in engine.read("t").collect()]
+    assert left == sorted(left) and left != list(range(left[0], left[-1] + 1))
+    for limit in (1, 3, 4, 99):
+        assert [r["offset"] for r in engine.read("t", 0, limit).collect()] == left[:limit]
+        assert [r["offset"] for r in engine.read("t", 3, limit, 450).collect()] == [o for o in left if o >= 3][: min(limit, 2)]
+
+
+def test_readers_of_older_manifests_go_on(engine, clock):
+    engine.create_topic("t", M.TopicConfig(retention_ms=1000))
+    for _ in range(6):
+        engine.publish("t", [{"payload": "x" * 150}])
+        clock.now += 600
+    snapshot = engine.read("t")
+    assert engine.trim("t").segments == 2 and engine.collect("t") == [] and offsets(snapshot) == [0, 1, 2, 3, 4, 5]
+    clock.now += 3_600_000
+    assert engine.collect("t") and offsets(engine.read("t")) == [4, 5] and engine.collect("t") == []
+
+
+def test_two_engines_on_one_directory(engine, spark, clock):
+    engine.create_topic("t")
+    other = Engine(spark, engine.root, engine.config, clock).start()
+    table = other._log("t")
+    seen = table.manifest()
+    engine.publish("t", [{"payload": "a"}])
+    with pytest.raises(Conflict):
+        table.commit(seen)
+    real, first = TableLog.manifest, [seen]
+    try:
+        TableLog.manifest = lambda self: first.pop() if first else real(self)  # a manifest read before the other's commit
+        assert other.publish("t", [{"payload": "b"}]) == (1, 2)
+    finally:
+        TableLog.manifest = real
+    assert [bytes(r["payload"]) for r in engine.read("t").collect()] == [b"a", b"b"]
+
+
+def test_retention_loop_health_and_metrics(engine, clock):
+    assert engine.health() == (True, "running")
+    engine.create_topic("t", M.TopicConfig(retention_ms=1000))
+    for _ in range(4):
+        engine.publish("t", [{"payload": "x" * 300}])
+        clock.now += 2000
+    engine.config = Config(segment_bytes=600, retention_interval_ms=50)
+    engine.watch()
+    until = time.time() + 20
+    while engine._log("t").manifest().log_start < 3 and time.time() < until:
+        time.sleep(0.1)
+    engine.ack("c", "t", 1)
+    counts = {r["name"]: r["value"] for r in engine.metrics().collect()}
+    assert (counts["published_records"], counts["published_batches"], counts["trimmed_segments"], counts["acks"]) == (4, 4, 3, 1)
+    engine.stop()
+    assert engine.health() == (False, "stopped") and not engine._ticker.is_alive()

@@ -28,25 +28,31 @@ def read(log: DataFrame, start: int | Column = 0) -> DataFrame:
 
 
 def read_bounded(log: DataFrame, start: int = 0, limit: int = 0, max_bytes: int = 0, topic: str = "topic") -> DataFrame:
-    """Of each topic, records from start: at most limit, and none beyond max_bytes of payload but the first.
+    """Of each topic, records from start: the first `limit` there are, and none beyond max_bytes of payload but the first.
 
-    Bounds of 0 or less don't hold. Offsets are dense, so a limit cuts the scan by itself.
+    Bounds of 0 or less don't hold. Offsets may have holes. Counts and bytes of blocks, partial aggregates, say which blocks a topic's
+    answer can lie in; only those are shuffled.
     """
     rows = read(log, start)
+    if limit <= 0 and max_bytes <= 0:
+        return rows
+    size = F.octet_length("payload").cast("long")
+    rows = rows.withColumn("_block", scan.offset_block())
+    sums = rows.groupBy(topic, "_block").agg(F.count("*").alias("_n"), F.sum(size).alias("_size"))
+    before = W.partitionBy(topic).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(topic, "_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_size")))
     if limit > 0:
-        # Dense offsets bound the answer before anything is shuffled, except below a trimmed start.
-        first = rows.groupBy(topic).agg(F.min("offset").alias("_first"))
-        rows = rows.join(first, topic).filter(F.col("offset") < F.col("_first") + limit).drop("_first")
+        sums = sums.filter(F.col("_n") < limit)
     if max_bytes > 0:
-        rows = scan.running(rows, [topic], scan.offset_block(), ["offset"], F.octet_length("payload").cast("long"), "sum", "_bytes")
-        rows = _first_fits(rows, topic, max_bytes).drop("_bytes")
-    return rows
-
-
-def _first_fits(rows: DataFrame, topic: str, max_bytes: int) -> DataFrame:
-    first = rows.groupBy(topic).agg(F.min("offset").alias("_first"))
-    rows = rows.join(first, topic)
-    return rows.filter((F.col("_bytes") <= max_bytes) | (F.col("offset") == F.col("_first"))).drop("_first")
+        sums = sums.filter((F.col("_size") <= max_bytes) | (F.col("_n") == 0))
+    within = W.partitionBy(topic, "_block").orderBy("offset").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(sums, [topic, "_block"])
+    rows = rows.withColumns({"_n": F.col("_n") + F.count("*").over(within), "_size": F.col("_size") + F.sum(size).over(within)})
+    if limit > 0:
+        rows = rows.filter(F.col("_n") <= limit)
+    if max_bytes > 0:
+        rows = rows.filter((F.col("_size") <= max_bytes) | (F.col("_n") == 1))
+    return rows.drop("_block", "_n", "_size")
 
 
 def chunks(log: DataFrame, limit: int, max_bytes: int, topic: str = "topic") -> DataFrame:

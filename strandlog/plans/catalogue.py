@@ -73,6 +73,22 @@ def read_bounded(spark, sf_dir):
     return log.read_bounded(event_log(spark, sf_dir), 100, 512, 4096).select("topic", "offset", "payload")
 
 
+_HOLES = "K AS (SELECT topic, o, payload FROM L QUALIFY row_number() OVER (PARTITION BY topic, key ORDER BY o DESC) = 1)"
+
+
+@_query(f"""WITH {EVENT_LOG}, {_HOLES}, S AS (SELECT *, row_number() OVER w AS n, sum(strlen(payload)) OVER w AS b FROM K WHERE o >= 100 WINDOW w AS (PARTITION BY topic ORDER BY o))
+SELECT topic, o AS "offset", payload FROM S WHERE n <= 60 AND (b <= 500 OR n = 1)""")
+def read_bounded_compacted(spark, sf_dir):
+    return log.read_bounded(log.compact(event_log(spark, sf_dir)), 100, 60, 500).select("topic", "offset", "payload")
+
+
+@_query(f"""WITH {EVENT_LOG}, {_HOLES} SELECT topic, o AS "offset", row_number() OVER (PARTITION BY topic ORDER BY o) AS place
+FROM K WHERE o >= 100 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY o) <= 40""")
+def read_limited_compacted(spark, sf_dir):
+    rows = log.read_bounded(log.compact(event_log(spark, sf_dir)), 100, 40)
+    return scan.positions(rows, ["topic"], scan.offset_block(), ["offset"], "place").select("topic", "offset", (F.col("place") + 1).alias("place"))
+
+
 def _greedy(source: str, size: str, max_bytes: int, limit: int) -> str:
     """Recursive SQL that numbers greedy runs of rows with columns topic, o."""
     fits = f"g.used + x.{size} <= {max_bytes}" + (f" AND g.n < {limit}" if limit else "")
@@ -409,8 +425,10 @@ def sweep_eligible(spark, sf_dir):
     return rows.withColumn("eligible", checks.sweepable(*[F.col(c) for c in rows.columns]))
 
 
-@_query(f"""SELECT a.s AS state, b.s AS next, t.f IS NOT NULL AS allowed, a.i::INTEGER AS number FROM {_literals(list(enumerate(M.STATES)), 'i, s').replace(' AS v', ' AS a')} CROSS JOIN {_literals([(s,) for s in M.STATES], 's').replace(' AS v', ' AS b')}
-LEFT JOIN {_literals(list(M.TRANSITIONS), 'f, n').replace(' AS v', ' AS t')} ON t.f = a.s AND t.n = b.s""")
+@_query("""SELECT a.s AS state, b.s AS next, a.s || '>' || b.s IN ('starting>recovering', 'starting>stopping', 'recovering>running', 'recovering>stopping',
+  'running>draining', 'running>stopping', 'draining>stopping', 'stopping>stopped') AS allowed, a.i::INTEGER AS number
+FROM (VALUES (0, 'starting'), (1, 'recovering'), (2, 'running'), (3, 'draining'), (4, 'stopping'), (5, 'stopped')) AS a(i, s)
+CROSS JOIN (VALUES ('starting'), ('recovering'), ('running'), ('draining'), ('stopping'), ('stopped')) AS b(s)""")
 def lifecycle_transitions(spark, sf_dir):
     edges = F.array(*[F.lit(f"{a}>{b}") for a, b in M.TRANSITIONS])
     rows = spark.range(len(M.STATES)).select(F.col("id").cast("int").alias("number"), frames.state_name(F.col("id").cast("int")).alias("state"), F.explode(F.array(*map(F.lit, M.STATES))).alias("next"))
@@ -420,7 +438,10 @@ def lifecycle_transitions(spark, sf_dir):
 _FAILURES = [*errors.STATUS_OF, "disk_full", ""]
 
 
-@_query(f"SELECT kind, coalesce(status, 'Internal') AS status FROM {_literals([(k, errors.STATUS_OF.get(k)) for k in _FAILURES], 'kind, status')}")
+@_query("""SELECT * FROM (VALUES ('cancelled', 'Canceled'), ('deadline', 'DeadlineExceeded'), ('invalid_name', 'InvalidArgument'), ('reserved_name', 'InvalidArgument'),
+  ('invalid_config', 'InvalidArgument'), ('invalid_partitions', 'InvalidArgument'), ('invalid_message', 'InvalidArgument'), ('invalid_consumer', 'InvalidArgument'),
+  ('topic_not_found', 'NotFound'), ('partition_not_found', 'NotFound'), ('already_exists', 'AlreadyExists'), ('out_of_range', 'OutOfRange'),
+  ('invalid_offset', 'OutOfRange'), ('not_running', 'Unavailable'), ('disk_full', 'Internal'), ('', 'Internal')) AS v(kind, status)""")
 def error_codes(spark, sf_dir):
     known = F.create_map(*[F.lit(x) for pair in errors.STATUS_OF.items() for x in pair])
     return _values(spark, [(k,) for k in _FAILURES], "kind string").select("kind", F.coalesce(F.try_element_at(known, F.col("kind")), F.lit("Internal")).alias("status"))

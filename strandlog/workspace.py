@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -14,8 +15,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset a local one, but never on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or LOCAL_DEFAULT).rstrip("/")
 
 
@@ -51,7 +54,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with _clean_shuffles(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialize wrote for df, which must not be read again."""
+    for entry in [e for e in _written if e[1] == df.written_to]:
+        _written.remove(entry)
+        discard(*entry)
+
+
+@contextmanager
+def passing():
+    """Delete what is written within, at the end of the block, but for the tables given to keep()."""
+    before, kept = set(_written), set()
+    yield lambda df: kept.add(df.written_to)
+    for entry in [e for e in _written if e not in before and e[1] not in kept]:
+        _written.remove(entry)
+        discard(*entry)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -70,5 +92,5 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             discard(spark, path)
-        except Exception:  # the JVM may be gone by now
-            return
+        except Exception:  # the JVM or the file may be gone by now; the others still have to go
+            continue

@@ -13,6 +13,7 @@ batch.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -36,6 +37,10 @@ COMPRESSION_BITS = 0x7
 POLYNOMIAL = 0x82F63B78
 
 
+#: Metadata fields by their reserved headers.
+RESERVED = {M.SYSTEM_PREFIX + name: name for name in M.SYSTEM_FIELDS}
+
+
 class FrameError(ValueError):
     """A frame that can't be read; args[0] is the code."""
 
@@ -135,6 +140,30 @@ class _Reader:
         return None if n == NULL else self.take(n)
 
 
+def _decoded(part: bytes | None) -> str:
+    try:
+        return (part or b"").decode()
+    except UnicodeDecodeError:
+        raise FrameError("invalid_text") from None
+
+
+def _check_reserved(name: str, value: str) -> None:
+    """A reserved header is one of the metadata fields, and numbers and ids among them can be read."""
+    field = RESERVED.get(name)
+    if field is None:
+        raise FrameError("invalid_system_header")
+    bits = {"retry_count": 32, "priority": 32, "schema_version": 32, "ttl_ms": 64}.get(field)
+    if bits and not (re.fullmatch(r"[+-]?[0-9]+", value) and -(1 << bits - 1) <= int(value) < 1 << bits - 1):
+        raise FrameError("invalid_system_header")
+    if field == "event_id" and not re.fullmatch(r"[0-7][0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{25}", value):
+        raise FrameError("invalid_system_header")
+
+
+def frame_range(header: bytes) -> tuple[int, int]:
+    """First offset and number of records of the frame that begins with header."""
+    return int.from_bytes(header[8:16], "big"), int.from_bytes(header[36:40], "big")
+
+
 def frame_size(header: bytes) -> int:
     """Bytes of the frame that begins with header."""
     return HEADER.size + int.from_bytes(header[16:20], "big")
@@ -168,11 +197,13 @@ def decode_batch(frame: bytes, checksum: int | None = None) -> tuple[int, list[t
         key, payload = body.text(), body.text()
         headers = {}
         for _ in range(body.number()):
-            k, v = body.text() or b"", body.text() or b""
-            headers[k.decode()] = v.decode()
+            k, v = _decoded(body.text()), _decoded(body.text())
+            if k.startswith(M.SYSTEM_PREFIX):
+                _check_reserved(k, v)
+            headers[k] = v
         if body.at != len(body.data):
             raise FrameError("invalid_record_length")
-        records.append((base + delta, first + ms, (key or b"").decode(), payload or b"", headers))
+        records.append((base + delta, first + ms, _decoded(key), payload or b"", headers))
     if reader.at != len(reader.data):
         raise FrameError("invalid_record_length")
     return base, records

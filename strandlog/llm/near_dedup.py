@@ -12,19 +12,23 @@ distance shares a key; every link is then confirmed on the full sets.
 Not all pairs of a key are made. First each node is held against the least node of its key
 (within a slice, then over all slices, so a key that a third of all nodes share sends one row a
 slice). Links give components. Keys whose nodes are in one component by then need nothing
-more. For the rest, signatures are held against each other across components, in blocks of at
-most BLOCK nodes: first only each node's closest neighbour comes out, which joins most of what
-belongs together, then every pair that is within the distance and still apart, only under the
-first key that it shares.
+more. The nodes of the others form groups: nodes with such a key in common are in one. Each group is held
+against itself in blocks of at most BLOCK bytes, which carry the whole sets. A task looks for pairs
+within the distance whose components differ, closest first, confirms them on the sets at once, and puts out a
+spanning forest of the links it found: at most one a node. No pair that is refuted leaves a task. Nodes outside the largest
+component of a group are held against all, those inside only against those outside, so a large group of linked
+copies is sent once for every block of nodes that aren't linked to it. A group of nodes that are within the distance
+and not similar enough has as many comparisons as pairs, in memory, but never as many rows.
 
 Components come from minimum labels with pointer jumping, each round written to the shared
 folder. Nothing but counts reaches the driver.
 
 A null or empty text, or one without words, has the empty set and is linked with nothing.
-Rows that share an id are one node. A null id is no document's least id: such rows are
+Very long texts have all their shingles, and are in memory one by one if they exceed a slice.
+Rows that share an id and have words are one node of the links. A null id is no document's least id: such rows are
 ordered last, told apart by their sets, and have a null component_id unless a document with an
-id is linked. An empty table gives no rows. Only the named columns are read. Ids are whole
-numbers below 2 ** 62.
+id is linked. Ties between equally close nodes don't matter, as all pairs across components are looked at. An empty
+table gives no rows. Only the named columns are read. Ids are whole numbers below 2 ** 62.
 """
 
 from __future__ import annotations
@@ -38,18 +42,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandlog.workspace import materialize
+from strandlog.workspace import materialize, passing, release
 
 from .tables import table
-from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes
+from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes, utf8
 
 POSITIONS = 128
-#: Nodes of a key that one task holds against each other; larger keys are cut into pairs of blocks.
-BLOCK = 4096
-#: Rounds of closest neighbours before all pairs across components, and the share of keys (one in so many) for them.
-NEAREST_ROUNDS, NEAREST_KEYS = 2, 8
-#: Pairs of signatures in memory at a time.
-PAIRS = 1 << 15
+#: Bytes of signatures and sets in a block; a task holds two blocks at a time.
+BLOCK = 1 << 20
+#: Groups of more blocks are searched key by key: in pairs of blocks each of their nodes would be sent more often than it has keys.
+WIDE = POSITIONS
+#: Pairs of signatures in memory at a time, closest pairs of a node that are confirmed first, and shingles confirmed at a time.
+PAIRS, CLOSEST, GATHERED = 1 << 15, 32, 1 << 20
 NULL_ID = 1 << 62
 #: Standard deviations of the number of differing positions that a signature may exceed its mean by.
 MARGIN = 5.2
@@ -102,8 +106,8 @@ def _sign(size: int):
             for part in slices(batch, "_text"):
                 value, bounds = shingles(part.column("_text"), size)
                 sign = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POSITIONS), part.num_rows, [None, pa.py_buffer(signatures(value, bounds).tobytes())])
-                columns = [part.column("_id"), pa.array(np.diff(bounds)), *(pa.array(_sums(value, bounds, s)) for s in _SALT[:2]), sign.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_n", "_d1", "_d2", "_sign"])
+                columns = [part.column("_id"), part.column("_x"), pa.array(np.diff(bounds)), *(pa.array(_sums(value, bounds, s)) for s in _SALT[:2]), sign.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_x", "_n", "_d1", "_d2", "_sign"])
 
     return run
 
@@ -167,65 +171,101 @@ def _filed(allowed: int):
     return run
 
 
-def across(key: int, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, allowed: int, whole: bool, best: bool = False) -> np.ndarray:
-    """Pairs of nodes of one key in different components and within the distance, each under the first key it shares.
-
-    With best, of each node outside the largest component only the pair with the least distance.
-
-    Unless whole, only pairs of nodes from different blocks (own) count. Of two such nodes at least one is
-    outside the largest component, so only those are held against all.
-    """
-    names, number, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return np.zeros((2, 0), np.int64)
-    out_of = number != counts.argmax()
-    outside = np.flatnonzero(out_of)
-    # Positions whose two lowest bits differ do differ: most pairs are beyond the distance by those alone.
-    low = [np.packbits(sign >> bit & 1, axis=1).view(_U) for bit in (0, 1)]
-    step = max(1, PAIRS // len(node))
-    out, every = [], None
-    for at in range(0, len(outside), step):
-        rows = outside[at : at + step]
-        differ = (low[0][rows][:, None, :] ^ low[0][None, :, :]) | (low[1][rows][:, None, :] ^ low[1][None, :, :])
-        ok = np.bitwise_count(differ).sum(axis=2, dtype=np.int16) <= allowed
-        ok &= (number[rows][:, None] != number[None, :]) & (node[rows][:, None] != node[None, :])
-        if not whole:
-            ok &= own[rows][:, None] != own[None, :]
-        x, y = np.nonzero(ok)
-        x = rows[x]
-        once = ~out_of[y] | (x < y)
-        if not best:
-            x, y = x[once], y[once]
-        far = (sign[x] != sign[y]).sum(axis=1)
-        x, y, far = (v[far <= allowed] for v in (x, y, far))
-        if best and len(x):
-            order = np.lexsort((y, far, x))
-            x, y = x[order], y[order]
-            first = np.append(True, x[1:] != x[:-1])
-            x, y = x[first], y[first]
-        if len(x) and best:
-            out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
-        elif len(x):
-            every = keys(sign, allowed) if every is None else every
-            first = every[x, (every[x] == every[y]).argmax(axis=1)] == np.int64(key).view(_U)
-            out.append(np.stack([np.minimum(node[x], node[y])[first], np.maximum(node[x], node[y])[first]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-
-
-def _across(allowed: int, best: bool):
-    """Pairs (a, b) from rows sorted by key and block pair; a task holds one pair of blocks at a time."""
+class Block:
+    """Nodes that one task holds against each other: their blocks (own), ids, components, signatures and sets."""
+
+    def __init__(self, own: np.ndarray, node: np.ndarray, comp: np.ndarray, sign: np.ndarray, value: np.ndarray, counts: np.ndarray):
+        self.own, self.node, self.sign, self.value, self.counts = own, node, sign, value, counts
+        self.bounds = np.concatenate(([0], np.cumsum(counts)))
+        _, self.number, self.members = np.unique(comp, return_inverse=True, return_counts=True)
+        self.label = np.arange(len(self.members))
+        self.local: np.ndarray | None = None
+        self.filed: np.ndarray | None = None
+
+    def apart(self, x: int, y: np.ndarray) -> np.ndarray:
+        return y[self.label[self.number[y]] != self.label[self.number[x]]]
+
+    def close(self, x: int, y: np.ndarray, allowed: int, key: int | None) -> np.ndarray:
+        """Those of y that are within the distance of x, closest first; with a key, those that share no earlier one with x."""
+        far = (self.sign[y] != self.sign[x]).sum(axis=1)
+        y = y[np.argsort(far, kind="stable")][: int((far <= allowed).sum())]
+        if key is not None and len(y):
+            if self.filed is None:
+                self.filed = keys(self.sign, allowed)
+            y = y[self.filed[y, (self.filed[y] == self.filed[x]).argmax(axis=1)] == np.int64(key).view(_U)]
+        return y
+
+    def shared(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of x's whole set with those of y."""
+        if self.local is None:
+            names, self.local = np.unique(self.value, return_inverse=True)
+            self.mark = np.zeros(len(names), bool)
+        own = self.local[self.bounds[x] : self.bounds[x + 1]]
+        self.mark[own] = True
+        ends = np.cumsum(self.counts[y])
+        at = np.arange(ends[-1]) + np.repeat(self.bounds[y] - ends + self.counts[y], self.counts[y])
+        found = np.add.reduceat(self.mark[self.local[at]], ends - self.counts[y], dtype=np.int64)
+        self.mark[own] = False
+        return found
+
+    def links(self, i: int, j: int, allowed: int, percent: int, key: int | None = None) -> np.ndarray:
+        """A spanning forest of the links between components: of nodes of blocks i and j, or of all nodes if i is j.
+
+        All pairs within the distance are confirmed on their whole sets, but for those that are in one component by then. Of
+        two nodes of one block and different components, at least one is outside the block's largest component.
+        """
+        out: list[tuple[int, int]] = []
+        if len(self.members) > 1:
+            main = self.number == self.members.argmax()
+            left, right = (np.flatnonzero(~main), np.arange(len(self.node))) if i == j else (np.flatnonzero(self.own == i), np.flatnonzero(self.own == j))
+            # Positions whose two lowest bits differ do differ: most pairs are beyond the distance by those alone.
+            low = [np.packbits(self.sign >> bit & 1, axis=1).view(_U) for bit in (0, 1)]
+            step = max(1, PAIRS // max(1, len(right)))
+            for at in range(0, len(left), step):
+                rows = left[at : at + step]
+                differ = (low[0][rows][:, None, :] ^ low[0][right][None, :, :]) | (low[1][rows][:, None, :] ^ low[1][right][None, :, :])
+                ok = np.bitwise_count(differ).sum(axis=2, dtype=np.int16) <= allowed
+                ok &= self.number[rows][:, None] != self.number[right][None, :]
+                few, many = np.minimum(self.counts[rows][:, None], self.counts[right][None, :]), np.maximum(self.counts[rows][:, None], self.counts[right][None, :])
+                ok &= 100 * few >= percent * many
+                if i == j:
+                    ok &= main[right][None, :] | (right[None, :] > rows[:, None])
+                for k in np.flatnonzero(ok.any(axis=1)).tolist():
+                    out += self._join(int(rows[k]), right[ok[k]], allowed, percent, key)
+        return np.array(out, np.int64).reshape(-1, 2).T
+
+    def _join(self, x: int, y: np.ndarray, allowed: int, percent: int, key: int | None) -> list[tuple[int, int]]:
+        out = []
+        y, take = self.close(x, self.apart(x, y), allowed, key), CLOSEST
+        while len(y):
+            take = max(1, min(take, int(np.searchsorted(np.cumsum(self.counts[y]), GATHERED, "right"))))
+            some, y, take = y[:take], y[take:], len(self.node)
+            both = self.shared(x, some)
+            for z in some[100 * both >= percent * (self.counts[x] + self.counts[some] - both)].tolist():
+                a, b = self.label[self.number[x]], self.label[self.number[z]]
+                if a != b:
+                    self.label[self.label == b] = a
+                    out.append((min(int(self.node[x]), int(self.node[z])), max(int(self.node[x]), int(self.node[z]))))
+            y = self.apart(x, y)
+        return out
+
+
+def _block_links(allowed: int, percent: int, keyed: bool):
+    """Links (a, b) from rows sorted by group and pair of blocks; a task holds one pair of blocks at a time."""
 
     def emit(group: tuple[int, int, int], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        own, node, comp, sign = (np.concatenate(x) for x in zip(*held, strict=True))
-        pairs = across(group[0], own, node, comp, sign, allowed, group[1] == group[2], best)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["_a", "_b"])
+        found = Block(*(np.concatenate(x) for x in zip(*held, strict=True))).links(*group[1:], allowed, percent, group[0] if keyed else None)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["_a", "_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("_key", "_i", "_j")])
+            group = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("_group", "_i", "_j")])
+            data, offsets = utf8(batch.column("_set"))
+            offsets = offsets // 8
+            value = data.view(_U)
             columns = (*(np.asarray(batch.column(c)) for c in ("_own", "_node", "_comp")), _matrix(batch.column("_sign")))
             cuts = np.append(np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0))), batch.num_rows)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -234,7 +274,7 @@ def _across(allowed: int, best: bool):
                     if held:
                         yield emit(now, held)
                     now, held = key, []
-                held.append(tuple(c[a:b] for c in columns))
+                held.append((*(c[a:b] for c in columns), value[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])))
         if held:
             yield emit(now, held)
 
@@ -251,12 +291,17 @@ def _within(allowed: int):
 
 
 def _shared_keys(allowed: int):
-    """Keys that both nodes of a pair are filed under."""
+    """Keys that both nodes of a pair are filed under, each with the pair's lesser node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _key_slices(batches):
             one, two = (keys(_matrix(part.column(c)), allowed) for c in ("_sa", "_sb"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(one[one == two]).view(np.int64))], names=["_key"])
+            same = one == two
+            key, node = one[same], np.repeat(np.asarray(part.column("_a")), same.sum(axis=1))
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(node[first])], names=["_key", "_least"])
 
     return run
 
@@ -296,7 +341,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of links (a, b): the least node reachable."""
+    """(node, comp) for every node of links (a, b): the least node reachable.
+
+    Spark splits what a hot component sends to one task in these joins (adaptive skew joins); its aggregates are partial.
+    """
     edges = materialize(links.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")).union(links.select("_b", "_a")), "edges")
     labels = materialize(edges.groupBy("_x").agg(F.least(F.col("_x"), F.min("_y")).alias("_comp")).withColumnRenamed("_x", "_node"), "labels")
     while True:
@@ -304,20 +352,22 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(beside.withColumnRenamed("_x", "_node"), "_node").select("_node", F.least("_comp", "_least").alias("_to"), "_comp")
         jump = labels.select(F.col("_node").alias("_to"), F.col("_comp").alias("_next"))
         step = materialize(lower.join(jump, "_to").select("_node", F.least("_to", "_next").alias("_comp"), F.col("_comp").alias("_was")), "labels")
+        release(labels)
         labels = step.select("_node", "_comp")
+        labels.written_to = step.written_to
         if not step.filter("_comp < _was").limit(1).count():
+            release(edges)
             return labels
 
 
 class _Graph:
     """Nodes, their signatures and sets, and the links confirmed so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, links: DataFrame | None):
         self.docs, self.nodes, self.size, self.percent = docs, nodes, size, percent
         self.allowed = errors(percent)
         self.sign = nodes.select("_node", "_sign")
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
+        self.labels = None if links is None else components(links)
 
     def comp(self, rows: DataFrame, name: str, out: str) -> DataFrame:
         """rows with the component of the node in column name."""
@@ -346,90 +396,175 @@ class _Graph:
         sets = some.mapInArrow(_set_rows(self.size), "_id long, _d1 long, _d2 long, _set binary").dropDuplicates(["_id", "_d1", "_d2"])
         self.sets = materialize(sets.join(wanted, ["_id", "_d1", "_d2"]).select("_node", "_set"), "sets")
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Add the links among pairs; whether there are any."""
-        side = lambda c: self.sets.select(F.col("_node").alias(f"_{c}"), F.col("_set").alias(f"_set_{c}"))
-        found = pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_near(self.percent), "_a long, _b long")
+    def add(self, found: DataFrame) -> None:
+        """Add confirmed links: components of components so far, which then rename those."""
         found = materialize(found, "links")
         if not found.limit(1).count():
-            return False
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links)
-        return True
-
-
-def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, comp) for all nodes with links, or None without links."""
-    graph = _Graph(docs, nodes, size, percent)
+            return
+        merged = components(_pairs(self.comp(self.comp(found, "_a", "_ca"), "_b", "_cb").select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b"))))
+        if self.labels is not None:
+            to = merged.select(F.col("_node").alias("_comp"), F.col("_comp").alias("_to"))
+            moved = self.labels.join(to, "_comp", "left").select("_node", F.coalesce("_to", "_comp").alias("_comp"))
+            merged = materialize(moved.union(merged.join(self.labels.select("_node"), "_node", "left_anti")), "labels")
+        self.labels = merged
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Add the links among pairs."""
+        side = lambda c: self.sets.select(F.col("_node").alias(f"_{c}"), F.col("_set").alias(f"_set_{c}"))
+        self.add(pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_near(self.percent), "_a long, _b long"))
+
+    def dealt(self, groups: DataFrame) -> DataFrame:
+        """(_group, _node, _comp) of groups (_group, _node) with more than one component, with the group's numbers of blocks.
+
+        A group of at most BLOCK bytes is one block. Else the nodes outside its largest component are dealt to _outer blocks, those inside
+        to _inner ones after them.
+        """
+        rows = groups.join(self.nodes.select("_node", (F.col("_n") * 8 + POSITIONS).alias("_bytes")), "_node")
+        rows = materialize(self.comp(rows, "_node", "_comp"), "grouped")
+        parts = rows.groupBy("_group", "_comp").agg(F.sum("_bytes").alias("_bytes"))
+        sums = parts.groupBy("_group").agg(F.sum("_bytes").alias("_all"), F.max(F.struct("_bytes", "_comp")).alias("_main"), F.count("*").alias("_comps"))
+        blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        whole = F.col("_all") <= BLOCK
+        sums = sums.filter("_comps > 1").select(
+            "_group",
+            F.when(whole, F.lit(None)).otherwise(F.col("_main._comp")).alias("_inside"),
+            F.when(whole, 1).otherwise(blocks(F.col("_all") - F.col("_main._bytes"))).alias("_outer"),
+            F.when(whole, 0).otherwise(blocks(F.col("_main._bytes"))).alias("_inner"),
+        )
+        return rows.select("_group", "_node", "_comp").join(sums, "_group")
+
+    def search(self, dealt: DataFrame, keyed: bool) -> DataFrame:
+        """Links between components within each group, from all pairs of its nodes that are within the distance."""
+        n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        inside, at = F.coalesce(F.col("_comp") == F.col("_inside"), F.lit(False)), F.xxhash64("_node")
+        own = F.when(inside, F.col("_outer") + F.pmod(at, F.col("_inner"))).otherwise(F.pmod(at, F.col("_outer"))).cast("int")
+        rows = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_outer") - 1 + F.when(inside, 0).otherwise(F.col("_inner")))))
+        rows = rows.select("_group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp")
+        rows = rows.join(self.sign, "_node").join(self.sets, "_node")
+        rows = rows.repartition(n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
+        return rows.mapInArrow(_block_links(self.allowed, self.percent, keyed), "_a long, _b long")
+
+
+def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int, links: DataFrame | None = None) -> DataFrame | None:
+    """(node, comp) for all nodes with links, or None without links. Given links hold from the start."""
+    with passing() as keep:
+        labels = _link(docs, nodes, size, percent, links)
+        if labels is not None:
+            keep(labels)
+    return labels
+
+
+def _link(docs: DataFrame, nodes: DataFrame, size: int, percent: int, links: DataFrame | None) -> DataFrame | None:
+    graph = _Graph(docs, nodes, size, percent, links)
     stars = graph.sign.select("_node", "_sign").mapInArrow(_stars(graph.allowed), "_key long, _node long, _other long")
     least = F.coalesce("_other", F.min("_node").over(W.partitionBy("_key")))
     pairs = materialize(_pairs(stars.select(F.col("_node").alias("_a"), least.alias("_b")).filter("_a <> _b")), "stars")
     alive = materialize(pairs.select(F.col("_a").alias("_node")).union(pairs.select("_b")).distinct(), "alive")
     if not alive.limit(1).count():
-        return None
+        return graph.labels
     graph.fetch(alive)
-    stars = materialize(graph.close(pairs), "close")
+    close = materialize(graph.close(pairs), "close")
     # One pair of each node links most; the other pairs are needed only where they join components.
-    graph.confirm(stars.groupBy("_b").agg(F.min("_a").alias("_a")).select("_a", "_b"))
-    graph.confirm(graph.apart(stars))
+    graph.confirm(close.groupBy("_b").agg(F.min("_a").alias("_a")).select("_a", "_b"))
+    graph.confirm(graph.apart(close))
     # A key has members in two components only if it made a pair whose nodes are still apart.
     apart = materialize(graph.apart(pairs), "apart")
     if not apart.limit(1).count():
         return graph.labels
-    mixed = graph.beside(apart).mapInArrow(_shared_keys(graph.allowed), "_key long").distinct()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = graph.beside(apart).mapInArrow(_shared_keys(graph.allowed), "_key long, _least long")
+    mixed = materialize(mixed.groupBy("_key").agg(F.min("_least").alias("_least")), "mixed")
     filed = graph.sign.join(alive, "_node", "left_semi").mapInArrow(_filed(graph.allowed), "_key long, _node long")
-    members = materialize(filed.join(mixed, "_key", "left_semi"), "members")
-    done = stars
-    for best in (*[True] * NEAREST_ROUNDS, False):
-        # Links to nodes' closest neighbours, found under a share of the keys, join most of what belongs together, with one
-        # pair a node and key. Then come all pairs that are still apart, under all keys.
-        rows = members.filter(F.pmod(F.col("_key"), F.lit(NEAREST_KEYS)) == 0) if best else members
-        rows = graph.comp(rows.select("_key", "_node"), "_node", "_comp")
-        counts = rows.groupBy("_key").agg(F.count("*").alias("_count"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
-        counts = counts.filter("_low < _high").select("_key", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
-        own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
-        dealt = rows.join(counts, "_key").join(graph.sign, "_node").withColumn("_own", own)
-        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        dealt = dealt.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp", "_sign")
-        found = dealt.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_across(graph.allowed, best), "_a long, _b long")
-        found = materialize((found.distinct() if best else found).join(done, ["_a", "_b"], "left_anti"), "rest")
-        graph.confirm(found)
-        done = done.union(found)
+    # Nodes with a mixed key in common are one group, and so are groups with a node in common: no pair still to be made is across groups.
+    # The keys' least nodes that a node is filed with are tied to the least of those, so edges are not much more than nodes.
+    beside = filed.join(mixed, "_key").select("_node", "_least").distinct()
+    beside = materialize(beside.withColumn("_a", F.min("_least").over(W.partitionBy("_node"))), "beside")
+    edges = _pairs(beside.select("_a", F.col("_node").alias("_b")).union(beside.select("_a", F.col("_least").alias("_b"))))
+    groups = components(edges).select("_node", F.col("_comp").alias("_group"))
+    dealt = graph.dealt(groups)
+    wide = F.col("_outer") + F.col("_inner") > WIDE
+    found = graph.search(dealt.filter(~wide), False)
+    if dealt.filter(wide).limit(1).count():
+        members = filed.join(dealt.filter(wide).select("_node"), "_node", "left_semi").join(mixed, "_key", "left_semi")
+        found = found.union(graph.search(graph.dealt(members.select(F.col("_key").alias("_group"), "_node")), True))
+    graph.add(found)
     return graph.labels
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Id, n_shingles, component_id and kept (whether the row's id is its component's) of every row."""
-    kind = docs.schema[id].dataType.simpleString()
-    own = docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text"))
-    signed = materialize(own.mapInArrow(_sign(size), "_id long, _n long, _d1 long, _d2 long, _sign binary"), "signed")
-    nodes = signed.filter("_n > 0").groupBy("_n", "_d1", "_d2").agg(F.min("_id").alias("_rid"), F.first("_sign").alias("_sign"))
+def _linked(docs: DataFrame, id: str, text: str, size: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Per row _id, _x (hash of the text), _n, _node and _comp (null without words); and the ids of several rows.
+
+    A node is a set. It has its least id for a name, or a stand-in from NULL_ID on if it has no id, or
+    its least id names a node already. With by_id, the sets of one id are linked.
+    """
+    own = docs.select(docs[id].cast("long").alias("_id"), F.xxhash64(docs[text]).alias("_x"), docs[text].alias("_text"))
+    signed = materialize(own.mapInArrow(_sign(size), "_id long, _x long, _n long, _d1 long, _d2 long, _sign binary"), "signed")
+    mark = ["_n", "_d1", "_d2"]
+    some = signed.filter("_n > 0")
+    nodes = some.groupBy(*mark).agg(F.min("_id").alias("_rid"), F.first("_sign").alias("_sign"))
     unnamed = F.lit(NULL_ID).bitwiseOR(F.xxhash64("_d1", "_d2").bitwiseAND(F.lit(NULL_ID - 1)))
-    nodes = materialize(nodes.withColumn("_node", F.coalesce("_rid", unnamed)), "nodes")
+    name = F.coalesce("_rid", unnamed)
+    full = F.when(F.col("_n") > 0, F.struct(*mark))
+    again = signed.filter("_id is not null").groupBy("_id").agg(F.count("*").alias("_rows"), (F.min(full) != F.max(full)).alias("_differ")).filter("_rows > 1")
+    again = materialize(again.select("_id", "_differ"), "again")
+    several = again.filter("_differ").select("_id")
+    repeated = bool(several.limit(1).count())
+    if repeated:
+        named = nodes.join(several.withColumnRenamed("_id", "_rid"), "_rid", "left_semi").groupBy("_rid").agg(F.min(F.struct(*mark)).alias("_named"))
+        name = F.when(F.col("_named") != F.struct(*mark), unnamed).otherwise(name)
+        nodes = nodes.join(named, "_rid", "left").withColumn("_node", name).drop("_named")
+    else:
+        nodes = nodes.withColumn("_node", name)
+    nodes = materialize(nodes, "nodes")
+    links = None
+    if repeated and by_id:
+        beside = some.join(several, "_id", "left_semi").join(nodes.select(*mark, "_node"), mark).select("_id", "_node")
+        beside = beside.join(beside.groupBy("_id").agg(F.min("_node").alias("_least")), "_id")
+        links = materialize(_pairs(beside.select(F.col("_least").alias("_a"), F.col("_node").alias("_b"))), "same")
     # A null id can't be looked up by a plain join; such rows get their stand-in here.
-    keyed = own.withColumn("_id", F.coalesce("_id", F.lit(NULL_ID)))
-    looked = nodes.withColumn("_rid", F.coalesce("_rid", F.lit(NULL_ID)))
-    labels = link(keyed, looked, size, percent)
-    named = nodes.select("_n", "_d1", "_d2", "_node")
+    keyed = own.select(F.coalesce("_id", F.lit(NULL_ID)).alias("_id"), "_text")
+    labels = link(keyed, nodes.withColumn("_rid", F.coalesce("_rid", F.lit(NULL_ID))), size, percent, links)
+    named = nodes.select(*mark, "_node")
     if labels is not None:
-        named = named.join(labels, "_node", "left").withColumn("_node", F.coalesce("_comp", "_node")).drop("_comp")
-    # Rows that share an id are one node, whatever their sets; ids with several sets are few.
-    rows = signed.join(named, ["_n", "_d1", "_d2"], "left")
-    comp = F.when(F.col("_node") < NULL_ID, F.col("_node")).when(F.col("_node").isNull(), F.col("_id"))
+        named = named.join(labels, "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
+    else:
+        named = named.withColumn("_comp", F.col("_node"))
+    return signed.join(named, mark, "left").select("_id", "_x", "_n", "_node", "_comp"), again.select("_id")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Id, n_shingles, component_id and kept (whether the row's id is its component's) of every row."""
+    kind = docs.schema[id].dataType.simpleString()
+    comp = F.when(F.col("_comp") < NULL_ID, F.col("_comp")).when(F.col("_comp").isNull(), F.col("_id"))
+    rows, _ = _linked(docs, id, text, size, percent, True)
     rows = rows.select(F.col("_id").cast(kind).alias(id), F.col("_n").alias("n_shingles"), comp.cast(kind).alias("component_id"))
     return rows.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs with one document of each component: the one with the least id, once.
+    """The rows of docs with one document of each group of near-duplicates: the one with the least id.
 
-    Rows without an id can't be told apart by it and all stay.
+    Here a document is an id with a set: texts that aren't similar stay each for itself, though they share an
+    id, and no text goes unless one of its group stays. Of texts with one id and set that with the least hash stays, and of
+    rows with one id and text that whose other columns come first as JSON. Rows without words are in no group; of those
+    with one id and text one stays. Rows without an id can't be told apart by it and all stay.
     """
-    found = near_duplicates(docs, id, text, size, percent).filter("kept").select(F.col(id).alias("_kept")).dropna().distinct()
-    named = docs.filter(docs[id].isNotNull())
-    named = named.join(found, named[id] == found["_kept"], "left_semi").dropDuplicates([id])
-    return named.unionByName(docs.filter(docs[id].isNull()))
+    rows, again = _linked(docs, id, text, size, percent, False)
+    alone = F.col("_node").isNull()
+    kept = rows.filter("_id is not null").groupBy("_comp", F.when(alone, F.col("_id")), F.when(alone, F.col("_x"))).agg(F.min(F.struct("_id", "_node", "_x")).alias("_kept"))
+    kept = materialize(kept.select("_kept._id", "_kept._x"), "kept")
+    match = lambda rows: (docs[id].cast("long") == rows["_id"]) & (F.xxhash64(docs[text]) == rows["_x"])
+    more = kept.join(again, "_id", "left_semi")
+    if more.limit(1).count():
+        once = kept.join(again, "_id", "left_anti")
+        rest = docs.join(more, match(more), "left_semi")
+        others = F.to_json(F.struct(F.lit(1).alias("_"), *[rest[c] for c in docs.columns if c not in (id, text)]))
+        first = F.row_number().over(W.partitionBy(rest[id], F.xxhash64(rest[text])).orderBy(others))
+        place = "_place" + "_" * max(map(len, docs.columns))
+        rest = rest.withColumn(place, first).filter(F.col(place) == 1).drop(place)
+        found = docs.join(once, match(once), "left_semi").unionByName(rest)
+    else:
+        found = docs.join(kept, match(kept), "left_semi")
+    return found.unionByName(docs.filter(docs[id].isNull()))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

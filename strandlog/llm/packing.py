@@ -10,12 +10,12 @@ go best-fit into the room that remains, longest first.
 Lengths are whole numbers up to the capacity, so a histogram with at most `capacity` rows
 says all the plan needs; the plan is a table of places for runs of ranks within a length.
 Its size depends on the capacity and the groups, not on the number of documents. Pieces
-get their rank within their length from windows over 64 parts of each length, and look
-up their place with a binary search. No task gets all pieces of a length.
+get their rank within their length from windows over parts of each length (PART_ROWS pieces a part or more), and look
+up their place with a binary search. No task gets all pieces of a frequent length.
 
 A null or empty text is one piece, the closing id alone. Texts longer than the capacity
-are cut into whole pieces; the last may be shorter. Rows with the same id and text are
-packed each for itself. An empty table gives no rows. Only the named columns are read.
+are cut into whole pieces; the last may be shorter. Very long texts are encoded whole, by their distinct parts. Rows with the same
+id and text are packed each for itself; which of two equal pieces gets which place isn't defined. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 from unicodedata import normalize
 
 import numpy as np
@@ -36,22 +37,31 @@ from pyspark.sql import Window as W
 from strandlog.workspace import materialize
 
 from .tables import table
-from .textvec import slices
+from .textvec import slices, utf8
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 0
-PARTS = 64
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 800_000
+#: Pieces of one length that are ranked together, on average, at least; of very many the square root, so that parts are as many as pieces in them.
+PART_ROWS = 1000
+#: Distinct parts of words whose ids a worker keeps; beyond that it starts anew.
+CACHED_PARTS = 1_000_000
+#: Bytes of texts encoded at a time.
+ENCODED_BYTES = 4 << 20
 #: Marks that the vocabulary's pre-tokenizer splits from letters before them, as one token's text.
 MARKS = ".,;:!?#$%&*|"
+_OTHER, _BLANK, _LETTER, _MARK, _HIGH = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x0A]] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[list(MARKS.encode())] = _MARK
+_KIND[128:] = _HIGH
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(vocabulary: str):
-    """Tokenizer and cache of one worker process. A bare file name is looked up among the public vocabularies."""
+    """Tokenizer and known parts of one worker process. A bare file name is looked up among the public vocabularies."""
     if vocabulary not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,7 +71,7 @@ def _tokenizer(vocabulary: str):
             import public_tokenizers
 
             path = public_tokenizers.path(vocabulary)
-        _tokenizers[vocabulary] = (Tokenizer.from_file(path), ({}, {}))
+        _tokenizers[vocabulary] = (Tokenizer.from_file(path), _Known())
     return _tokenizers[vocabulary]
 
 
@@ -70,14 +80,6 @@ def _letters(text: str) -> bool:
     return text.isalpha() and (text.isascii() or normalize("NFC", text.lower()).isalpha())
 
 
-def _stem(word: str) -> tuple[str, str]:
-    """Letters of a word, in lower case if they are ASCII, and the marks after them; (word, '') if it has another form."""
-    stem = word.rstrip(MARKS)
-    if not _letters(stem):
-        return word, ""
-    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
-
-
 def _encode_each(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,46 +98,151 @@ def _encode_letters(tokenizer, stems: list[str], together: int = 128) -> list[by
     return out
 
 
-def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without the closing id.
+class _Known:
+    """Ids of the parts seen so far, end to end, with their places."""
+
+    CLOSING = 0  # the number of the closing id
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.first = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
+        self.add([""], [np.array([CLOSING_ID], "<u4").tobytes()])
+
+    def add(self, parts: list[str], ids: list[bytes]) -> None:
+        n = len(self.number)
+        ends = self.first[n] + np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
+        self.first = self._room(self.first, n + len(parts) + 1)
+        self.ids = self._room(self.ids, int(ends[-1]))
+        self.ids[self.first[n] : ends[-1]] = np.frombuffer(b"".join(ids), "<u4")
+        self.first[n + 1 : n + len(parts) + 1] = ends
+        self.number.update(zip(parts, range(n, n + len(parts)), strict=True))
+
+    @staticmethod
+    def _room(have: np.ndarray, size: int) -> np.ndarray:
+        return have if size <= len(have) else np.concatenate([have, np.zeros(max(size, 2 * len(have)) - len(have), have.dtype)])
+
+
+class _Parts:
+    """Texts cut into parts: words, and for words of letters that end in marks, the letters and the marks.
+
+    A part's string goes on to the next part, so that it ends in a blank unless marks (or another text) follow at once.
+    """
+
+    def __init__(self, column: pa.Array):
+        data, self.offsets = utf8(column)
+        kind = _KIND[data]
+        self.data = np.where(kind == _BLANK, np.uint8(0x20), data)
+        solid, n = kind != _BLANK, len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[self.offsets] = True
+        begin, stop = solid.copy(), solid.copy()
+        begin[1:] &= ~solid[:-1] | edge[1:n]
+        stop[:-1] &= ~solid[1:] | edge[1:n]
+        self.starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
+        last = np.maximum.accumulate(np.where(kind != _MARK, np.arange(n, dtype=np.int32), np.int32(-1))) if n else np.zeros(0, np.int32)
+        self.stems = np.maximum(self.starts, last[ends] + 1)  # where the marks at a word's end begin
+        letters = ~self._any((kind != _LETTER) & (kind != _HIGH)) & (self.stems > self.starts)
+        plain = letters & ~self._any(kind == _HIGH)
+        lower = np.zeros(n + 1, np.int8)
+        lower[self.starts[plain]] += 1
+        lower[self.stems[plain]] -= 1
+        self.data |= np.cumsum(lower[:n], dtype=np.int8).view(np.uint8) << np.uint8(5)
+        self.split = letters & (self.stems <= ends)
+        self._cut()
+
+    def _any(self, flags: np.ndarray) -> np.ndarray:
+        """Whether a word has a flag before the marks at its end."""
+        sums = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, dtype=np.int32, out=sums[1:])
+        return sums[self.stems] > sums[self.starts]
+
+    def _cut(self) -> None:
+        flags = np.zeros(len(self.data), bool)
+        flags[self.starts] = True
+        flags[self.stems[self.split]] = True
+        self.at = np.flatnonzero(flags)
+        ends = np.append(self.at, len(self.data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(self.at), pa.py_buffer(ends.tobytes()), pa.py_buffer(self.data.tobytes())).dictionary_encode()
+        self.strings, self.place = found.dictionary.to_pylist(), found.indices.to_numpy()
+
+    def unlike_letters(self) -> list[int]:
+        """Strings before marks that aren't letters."""
+        before = np.unique(self.place[np.searchsorted(self.at, self.starts[self.split])])
+        return [i for i in before.tolist() if not self.strings[i].isascii() and not _letters(self.strings[i])]
+
+    def join(self, wrong: list[int]) -> None:
+        """Make words whose letters are one of these strings one part again."""
+        bad = np.zeros(len(self.data) + 1, bool)
+        bad[self.at[np.isin(self.place, wrong)]] = True
+        self.split &= ~bad[self.starts]
+        self._cut()
+
+
+def encoded(column: pa.Array, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, each text's with the closing id, and the n + 1 bounds of the texts.
 
     The vocabulary lower-cases, drops white space and joins nothing across it, nor letters and the
     marks after them. So the ids of a text are those of its parts, one after the other, and
-    each distinct part is encoded once.
+    each distinct part is encoded once in a worker.
     """
-    tokenizer, (words, stems) = _tokenizer(vocabulary)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(words) > CACHED_WORDS or len(stems) > CACHED_WORDS:
-        words.clear()
-        stems.clear()
-    new = {w: _stem(w) for w in {w for p in parts for w in p if w not in words}}
-    lacking = {x for pair in new.values() for x in pair if x not in stems}
-    letters = [x for x in lacking if _letters(x)]
-    others = [x for x in lacking if not _letters(x)]
-    stems.update(zip(letters, _encode_letters(tokenizer, letters), strict=True))
-    stems.update(zip(others, _encode_each(tokenizer, others), strict=True))
-    for w, (stem, marks) in new.items():
-        words[w] = stems[stem] + stems[marks]
-    return [b"".join(map(words.__getitem__, p)) for p in parts]
+    tokenizer, known = _tokenizer(vocabulary)
+    parts = _Parts(column)
+    # Bytes beyond ASCII needn't be letters; words that end in marks after other such bytes stay whole.
+    while wrong := parts.unlike_letters():
+        parts.join(wrong)
+    if len(known.number) > CACHED_PARTS:
+        known.clear()
+    number = [known.number.get(x, -1) for x in parts.strings]
+    lacking = [x for x, i in zip(parts.strings, number, strict=True) if i < 0]
+    if lacking:
+        stripped = [x.rstrip(" ") for x in lacking]
+        distinct = dict.fromkeys(stripped)
+        letters, others = [], []
+        for x in distinct:
+            (letters if _letters(x) else others).append(x)
+        distinct.update(zip(letters, _encode_letters(tokenizer, letters), strict=True))
+        distinct.update(zip(others, _encode_each(tokenizer, others), strict=True))
+        fresh = iter(range(len(known.number), len(known.number) + len(lacking)))
+        known.add(lacking, [distinct[x] for x in stripped])
+        number = [next(fresh) if i < 0 else i for i in number]
+    ends = np.searchsorted(parts.at, parts.offsets[1:])
+    place = np.insert(np.array(number, np.int32)[parts.place], ends, _Known.CLOSING)
+    first = known.first[place]
+    counts = known.first[place + 1] - first
+    ends += np.arange(1, len(ends) + 1)
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    first -= sums[:-1]
+    at = np.repeat(first, counts)
+    at += np.arange(len(at))
+    return known.ids[at], np.concatenate(([0], sums[ends]))
+
+
+def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers, without the closing id."""
+    ids, bounds = encoded(pa.array(texts, pa.string()), vocabulary)
+    return [ids[a : b - 1].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Id, piece, start, length and ids_crc32 of every document's pieces."""
     kind = docs.schema[id].dataType.simpleString()
-    closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                rows = []
-                for at, ids in enumerate(encode([x or "" for x in part.column("_text").to_pylist()], vocabulary)):
-                    ids += closing
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[s : s + 4 * capacity]
-                        rows.append((at, k, s // 4, len(cut) // 4, zlib.crc32(cut)))
-                at, k, s, n, crc = (np.array(c) for c in zip(*rows, strict=True))
+            for part in slices(batch, "_text", ENCODED_BYTES):
+                ids, bounds = encoded(part.column("_text"), vocabulary)
+                of = -(-np.diff(bounds) // capacity)  # pieces of each text: one at least
+                at = np.repeat(np.arange(part.num_rows), of)
+                k = np.arange(len(at)) - np.repeat(np.cumsum(of) - of, of)
+                start = k * capacity
+                length = np.minimum(capacity, np.diff(bounds)[at] - start)
+                begin = bounds[:-1][at] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(pa.array(at)), pa.array(k, pa.int32()), *[pa.array(c, pa.int64()) for c in (s, n, crc)]],
+                    [part.column("_id").take(pa.array(at)), pa.array(k, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]],
                     names=["_id", "piece", "start", "length", "ids_crc32"],
                 )
 
@@ -327,7 +434,9 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
     cut = materialize(pieces(docs, id, text, capacity, vocabulary), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     runs = best_plan(histogram, capacity).arrays()
-    rows = cut.withColumn("_part", F.pmod(F.xxhash64(id, "piece", "ids_crc32"), F.lit(PARTS))).repartition("length", "_part")
+    # As many parts of a length as its pieces need: a broadcast of capacity rows at most.
+    parts_of = cut.sparkSession.createDataFrame([(n, -(-c // max(PART_ROWS, isqrt(c)))) for n, c in histogram.items()], "length long, _parts long")
+    rows = cut.join(F.broadcast(parts_of), "length").withColumn("_part", F.pmod(F.xxhash64(id, "piece", "ids_crc32"), F.col("_parts"))).repartition("length", "_part")
     before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     parts = parts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

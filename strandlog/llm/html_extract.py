@@ -1,10 +1,14 @@
 """HTML extraction: a page is cut into flat text blocks, and a decision tree keeps the article's.
 
 A block is the text between two block-level tags. Its features are its word count and link
-density, those of the blocks before and after it, and what its open elements and their
-class, id and role say (article, or furniture such as menus, adverts and forms). The tree (CART,
-Gini) is trained when first needed, on a small labelled table: blocks of pages composed by
-rule from a seeded generator, where the words of a block tell its label.
+density, those of the blocks before and after it, whether it stands between the page's first and last long block, and what its
+open elements say: article, or furniture such as menus, adverts and forms. The tree (CART, Gini) is trained when first
+needed, on a small labelled table: blocks of pages composed by rule from a seeded generator, where the words of a block tell
+its label. In half of those pages elements say nothing (plain divs, class names without meaning), so there counts and link density decide.
+
+A class, id or role counts by its whole name: all of its parts must be words of FURNITURE_WORDS (or of ARTICLE_WORDS), or neutral
+ones; `has-sidebar` or `comment-open` say nothing. If all that an article's element holds would be furniture, or no element is an article's, then an
+element with WRAPS of the page's text outside links is a wrapper of the article, and its hint doesn't count.
 
 Scripts, styles, comments, forms' controls and other elements whose content isn't text are
 skipped, as is what stands in for an object or a script that a browser runs. Without an end tag, script,
@@ -49,8 +53,10 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title".split())
 SKIPPED = RAW | frozenset("noscript template svg annotation annotation-xml iframe object select button canvas audio video".split())
-FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
+MENU_TAGS = frozenset("nav footer aside dialog menu".split())
+FURNITURE_TAGS = MENU_TAGS | {"form"}
 ARTICLE_TAGS = frozenset(("article", "main"))
+# Words of class names, ids and roles.
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe signup login comment comments disqus reply "
@@ -58,28 +64,52 @@ FURNITURE_WORDS = frozenset(
     "contentinfo dialog alert teaser".split()
 )
 ARTICLE_WORDS = frozenset("article content story entry post body text main articlebody".split())
+NEUTRAL_WORDS = frozenset(
+    "site page left right top bottom upper lower inner outer list item items box block wrap wrapper container holder area section group row col column "
+    "global primary secondary links link buttons button bar form posts stories articles news text title heading message policy by".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a page's text outside links from which an element wraps the article.
+WRAPS = 0.8
+#: Words of a long block, and the greatest link density it may have.
+LONG, LINKED = 15, 0.3
+
+
+def _named(value: str) -> int:
+    """What whole names say: 2 for furniture, 3 for a header, 1 for an article, 0 else."""
+    found = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not words:
+            continue
+        if any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in NEUTRAL_WORDS or w in ARTICLE_WORDS or w == "header" for w in words):
+            if "main" in words and "content" in words:
+                continue
+            return 2
+        if "header" in words and all(w == "header" or w in NEUTRAL_WORDS or w in ARTICLE_WORDS for w in words):
+            found = found or 3
+        elif any(w in ARTICLE_WORDS for w in words) and all(w in ARTICLE_WORDS or w in NEUTRAL_WORDS for w in words):
+            found = 1
+    return found
 
 
 def _hints(name: str, attrs: str) -> int:
-    """1 for an element of an article, 2 for furniture, 3 for a header that may be either's, 0 else."""
-    if name in FURNITURE_TAGS:
-        return 2
-    found = 1 if name in ARTICLE_TAGS else 3 if name == "header" else 0
+    """1 for an element of an article, 2 for furniture, 3 for a header that may be either's, 4 for what is furniture whatever it holds, 0 else."""
+    if name in MENU_TAGS:
+        return 4
+    found = 2 if name in FURNITURE_TAGS else 1 if name in ARTICLE_TAGS else 3 if name == "header" else 0
     if name in ("html", "body") or not attrs:
         return found
     for key, a, b, c in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return 2
+            return 4
         if key in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & FURNITURE_WORDS:
-                return 2
-            if "header" in words or "banner" in words:
-                found = found or 3
-            elif words & ARTICLE_WORDS:
-                found = 1
+            said = _named(value)
+            if said == 2:
+                found = 2
+            elif found != 2 and said:
+                found = (found or 3) if said == 3 else 1
     return found
 
 
@@ -109,12 +139,42 @@ def _pairs(page: str, at: int) -> dict[int, int]:
     return out
 
 
+def _flags(elements: list[tuple[int, int]], found: list[list]) -> list[tuple[int, int]]:
+    """(in article, in furniture) of every element (parent, hint), parents first; found: blocks with words, words in links and element."""
+
+    def run(hints: list[int]) -> list[tuple[int, int]]:
+        out = [(0, 0)]
+        for (parent, _), hint in zip(elements[1:], hints[1:], strict=True):
+            inside, furniture = out[parent]
+            if hint == 3:
+                hint = 0 if inside else 2
+            out.append((int(inside or hint == 1), int(furniture or hint in (2, 4))))
+        return out
+
+    hints = [h for _, h in elements]
+    flags = run(hints)
+    if any(flags[e] == (1, 0) for *_, e in found):
+        return flags
+    held, always = [0] * len(elements), [False] * len(elements)
+    for i, (parent, hint) in enumerate(elements):
+        always[i] = i > 0 and (hint == 4 or always[parent])
+    for _, n, linked, e in found:
+        held[e] += 0 if always[e] else n - linked
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i][0]] += held[i]
+    if not any(h in (2, 3) and n and n >= WRAPS * held[0] for h, n in zip(hints, held, strict=True)):
+        return flags
+    return run([0 if h in (2, 3) and n >= WRAPS * held[0] else h for h, n in zip(hints, held, strict=True)])
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
     """(text, words, words in links, in article, in furniture, tag) of every block with a word."""
-    out: list[tuple[str, int, int, int, int, str]] = []
+    out: list[list] = []  # text, words, words in links, element
+    tags: list[str] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_elements: list[tuple[str, int, int]] = []  # name, in article, in furniture
+    elements: list[tuple[int, int]] = [(0, 0)]  # parent and hint
+    open_elements: list[tuple[str, int]] = [("", 0)]  # name and place in elements
     anchors, tag = 0, ""
     pairs: dict[int, int] | None = None
     at, end = 0, len(page)
@@ -124,8 +184,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
         if parts:
             words = unescape("".join(parts)).split()
             if words:
-                inside, furniture = open_elements[-1][1:] if open_elements else (0, 0)
-                out.append((" ".join(words), len(words), min(len(words), len(unescape(" ".join(linked)).split())), inside, furniture, tag))
+                out.append([" ".join(words), len(words), min(len(words), len(unescape(" ".join(linked)).split())), open_elements[-1][1]])
+                tags.append(tag)
             parts, linked = [], []
 
     while at < end:
@@ -146,7 +206,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
                 anchors = 0
             elif name in BLOCK:
                 flush()
-                for i in range(len(open_elements) - 1, -1, -1):
+                for i in range(len(open_elements) - 1, 0, -1):
                     if open_elements[i][0] == name:
                         del open_elements[i:]
                         break
@@ -171,22 +231,19 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
             if name in ("p", "hr") or name in HEADINGS:
                 if not attrs:
                     continue
-            inside, furniture = open_elements[-1][1:] if open_elements else (0, 0)
-            hint = _hints(name, attrs)
-            if hint == 3:
-                hint = 0 if inside else 2
             if name in ("p", "hr") or name in HEADINGS or name in ("li", "td", "th", "tr", "dd", "dt"):
-                if open_elements and open_elements[-1][0] == name:
+                if open_elements[-1][0] == name:
                     open_elements.pop()
-                    inside, furniture = open_elements[-1][1:] if open_elements else (0, 0)
                 if name == "hr":
                     continue
-            open_elements.append((name, int(inside or hint == 1), int(furniture or hint == 2)))
+            elements.append((open_elements[-1][1], _hints(name, attrs)))
+            open_elements.append((name, len(elements) - 1))
     flush()
-    return out
+    flags = _flags(elements, out)
+    return [(text, n, linked, *flags[e], tag) for (text, n, linked, e), tag in zip(out, tags, strict=True)]
 
 
-FEATURES = "words link words_before link_before words_after link_after article furniture heading item before_article after_article page_has_article".split()
+FEATURES = "words link words_before link_before words_after link_after article furniture heading item before_article after_article page_has_article after_long before_long".split()
 
 
 def features(found: list[tuple[str, int, int, int, int, str]]) -> np.ndarray:
@@ -203,10 +260,12 @@ def features(found: list[tuple[str, int, int, int, int, str]]) -> np.ndarray:
         out[:, 9] = [b[5] in ("li", "td", "th", "option", "dt", "dd") for b in found]
         out[:, 12] = inside.any()
         out[:, 10], out[:, 11] = np.cumsum(inside) > 0, np.cumsum(inside[::-1])[::-1] > 0
+        long = (words >= LONG) & (link <= LINKED) & (furniture == 0)
+        out[:, 13], out[:, 14] = np.cumsum(long) > 0, np.cumsum(long[::-1])[::-1] > 0
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 4):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4):
     """A decision tree: a label, or (feature, threshold, tree at or below it, tree above it)."""
     share = y.mean() if len(y) else 0.0
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -236,8 +295,8 @@ def classify(tree, row: np.ndarray) -> int:
     return tree
 
 
-def training_pages(n: int = 300, seed: int = 3) -> list[str]:
-    """Pages whose article words begin with c and whose other words begin with b."""
+def training_pages(n: int = 500, seed: int = 3, told: float = 0.5) -> list[str]:
+    """Pages whose article words begin with c and whose other words begin with b. A share told of them has elements that say what they hold."""
     r = random.Random(seed)
 
     def words(letter: str, low: int, high: int) -> str:
@@ -246,7 +305,10 @@ def training_pages(n: int = 300, seed: int = 3) -> list[str]:
     def links(k: int, low: int = 1, high: int = 3) -> str:
         return "".join(f'<li><a href="/x{i}">{words("b", low, high)}</a></li>' for i in range(k))
 
-    def furniture(place: str) -> str:
+    def paragraphs(letter: str, low: int, high: int, k: int) -> str:
+        return "".join(f"<p>{words(letter, low, high)}</p>" for _ in range(k))
+
+    def told_furniture(place: str) -> str:
         kind = r.choice(
             ("nav", "header", "ad", "cookie", "form", "aside")
             if place == "top"
@@ -267,15 +329,26 @@ def training_pages(n: int = 300, seed: int = 3) -> list[str]:
             "newsletter": f'<div class="newsletter"><p>{words("b", 5, 20)}</p></div>',
         }[kind]
 
-    def body() -> str:
+    def plain_furniture(place: str) -> str:
+        """Menus, teasers, link lines and short notes in elements that say nothing."""
+        kind = r.choice(("menu", "bar", "teasers", "note", "line") if place != "middle" else ("teasers", "bar"))
+        return {
+            "menu": f"<ul>{links(r.randint(3, 9))}</ul>",
+            "bar": "<div>" + " ".join(f'<a href="/m{i}">{words("b", 1, 2)}</a>' for i in range(r.randint(3, 8))) + "</div>",
+            "teasers": f"<div><h3>{words('b', 1, 3)}</h3><ul>{links(r.randint(3, 6), 4, 14)}</ul></div>",
+            "note": f"<div>{'&copy; ' if place == 'end' else ''}{words('b', 1, 9)}</div>",
+            "line": f'<p><a href="/z">{words("b", 2, 12)}</a> {words("b", 1, 3)}</p>',
+        }[kind]
+
+    def body(furniture) -> str:
         out = [f"<h1>{words('c', 2, 12)}</h1>"] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 8)):
             kind = r.random()
             if kind < 0.7:
-                text = words("c", 1, 90) if r.random() < 0.9 else words("c", 1, 20) + f' <a href="/y">{words("c", 1, 6)}</a>'
+                text = words("c", 1, 90) if r.random() < 0.75 else words("c", *r.choice([(0, 5), (8, 40)])) + f' <a href="/y">{words("c", 1, 6)}</a> ' + words("c", 0, 20)
                 out.append(f"<p>{text}</p>")
             elif kind < 0.78:
-                out.append(f"<h2>{words('c', 1, 8)}</h2>")
+                out.append(f"<h2>{words('c', 1, 8)}</h2>" if r.random() < 0.7 else f'<h2><a href="#h">{words("c", 1, 8)}</a></h2>')
             elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li>{words('c', 1, 15)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
             elif kind < 0.92:
@@ -286,31 +359,22 @@ def training_pages(n: int = 300, seed: int = 3) -> list[str]:
                 out.append(furniture("middle"))
         return "".join(out)
 
-    def loose() -> str:
-        kind = r.random()
-        if kind < 0.15:
-            return f"<div>{words('b', 1, 9)}</div>"
-        if kind < 0.25:
-            return f"<div><ul>{links(r.randint(2, 7), 1, 5)}</ul></div>"
-        if kind < 0.3:
-            return f'<p><a href="/z">{words("b", 1, 6)}</a> {words("b", 1, 3)}</p>'
-        return ""
+    def empty_name() -> str:
+        return r.choice(["", ' class="' + "".join(r.choice("qwxzjkv") for _ in range(4)) + '"'])
 
     pages = []
     for _ in range(n):
-        style = r.random()
-        inner = body()
-        if style < 0.6:
-            inner = f"<article>{inner}</article>"
-        elif style < 0.75:
-            inner = f"<main>{inner}</main>"
-        elif style < 0.9:
-            inner = f'<div class="{r.choice(["content", "post-body", "entry-content", "article-text"])}">{inner}</div>'
-        else:  # nothing marks the article: longer text, few links
-            inner = f"<div>{''.join(f'<p>{words("c", 15, 90)}</p>' for _ in range(r.randint(2, 6)))}</div>"
+        if r.random() < told:
+            furniture = lambda place: told_furniture(place) if r.random() < 0.85 else plain_furniture(place)
+            name = r.choice(["article", "article", "main", "div"])
+            marked = f' class="{r.choice(["content", "post-body", "entry-content", "article-text"])}"' if name == "div" else ""
+            inner = f"<{name}{marked}>{body(furniture)}</{name}>"
+        else:  # nothing says what is what: the article has the long text, the rest links and short notes
+            furniture = plain_furniture
+            inner = f"<div{empty_name()}>{'<h1>' + words('c', 2, 12) + '</h1>' if r.random() < 0.9 else ''}{paragraphs('c', 20, 90, 1)}{body(lambda _: '')}{paragraphs('c', 20, 90, 1)}</div>"
         top = "".join(furniture("top") for _ in range(r.randint(0, 3)))
         end = "".join(furniture("end") for _ in range(r.randint(0, 3)))
-        pages.append(f"<html><head><title>{words('c', 2, 6)}</title></head><body>{loose()}{top}{loose()}{inner}{loose()}{end}{loose()}</body></html>")
+        pages.append(f"<html><head><title>{words('c', 2, 6)}</title></head><body>{top}{inner}{end}</body></html>")
     return pages
 
 

@@ -11,7 +11,8 @@ hashes of either, the share that both have at matching positions, that is at one
 displacement, within WIDTH code points.
 
 Null or empty texts have an empty fingerprint, like another empty one (1.0) and unlike all
-others (0.0). Equal texts have equal fingerprints. For neighbours, rows are ordered by
+others (0.0). Equal texts have equal fingerprints. Positions are counted modulo 2 ** 24 code points, so in longer
+texts anchors that far apart count as being at one place. For neighbours, rows are ordered by
 descending id, null last, then by text; after the last row comes the first, and a single row is
 its own neighbour. An empty table gives no rows. Only the named columns are read.
 """
@@ -20,11 +21,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -101,41 +101,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below key, by two short searches."""
-    step = max(1, isqrt(len(bounds)))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not blocks:
-        return F.lit(0)
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    before = F.size(F.filter(heads, lambda x: x < key)) - 1
-    inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), before)
-    return F.when(before < 0, 0).otherwise(before * step + F.size(F.filter(inside, lambda x: x < key)))
+def _salts(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that hash partitioning puts there."""
+    place = F.pmod(F.hash("id"), F.lit(n))
+    found = spark.range(32 * n).groupBy(place.alias("place")).agg(F.min("id").alias("salt")).toArrow()
+    out = np.arange(n)  # a partition that none of so many numbers hashes to gets what its own number hashes to
+    out[found.column("place").to_numpy()] = found.column("salt").to_numpy()
+    return out
+
+
+def _bucketed(bounds: np.ndarray):
+    """The bucket of every _key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("_key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key)), batch.column("_key")], names=["_bucket", "_key"])
+
+    return run
+
+
+def _dealt(bounds: np.ndarray, salts: np.ndarray, firsts: np.ndarray, to: np.ndarray):
+    """Rows with their bucket and its salt, and after them the rows whose key is among firsts once more, for the bucket in to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("_key").to_numpy()
+            own = np.searchsorted(bounds, key)
+            place = np.minimum(np.searchsorted(firsts, key), len(firsts) - 1)
+            again = np.flatnonzero(firsts[place] == key)
+            for rows, bucket, extra in ((batch, own, False), (batch.take(pa.array(again)), to[place[again]], True)):
+                if rows.num_rows:
+                    columns = [pa.array(salts[bucket]), pa.array(bucket), pa.array(np.full(rows.num_rows, extra)), *rows.columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_salt", "_bucket", "_extra", *rows.schema.names])
+
+    return run
 
 
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows _bucket, _extra, _key, _id, _text, laid out so that a row's neighbour follows it in its partition.
 
-    Ranges of ids are dealt to buckets; the first row of a bucket is also sent, as an
+    Ranges of ids are dealt to buckets, one to a shuffle partition; the first row of a bucket is also sent, as an
     extra row, to the end of the bucket before it. The text is shuffled once. What the driver
-    gets are one bound and one id for each shuffle partition.
+    gets are one bound, one id and one salt for each shuffle partition; they go to the tasks as arrays, so the plan doesn't grow.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[id].dataType.simpleString()
     key = F.coalesce(docs[id].cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("_key"), docs[id].alias("_id"), docs[text].alias("_text"))
     ids = rows.select("_key")
     got = ids.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    rows = rows.withColumn("_bucket", _bucket(F.col("_key"), sorted(set(got))))
-    firsts = {r["_bucket"]: r["_first"] for r in rows.groupBy("_bucket").agg(F.max("_key").alias("_first")).collect()}
-    down = sorted(firsts, reverse=True)
-    extra_to = {firsts[b]: down[i - 1] for i, b in enumerate(down)}  # the highest bucket's first row closes the lowest
-    rows = rows.withColumn("_extra", F.lit(False))
-    if extra_to:
-        target = F.create_map(*[F.lit(x) for pair in extra_to.items() for x in pair])
-        also = rows.filter(F.col("_key").isin(list(extra_to))).withColumns({"_bucket": target[F.col("_key")], "_extra": F.lit(True)})
-        rows = rows.unionByName(also)
-    return rows.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_extra", F.col("_key").desc(), "_text")
+    bounds = np.array(sorted(set(got)), np.int64)[: n - 1]
+    found = ids.mapInArrow(_bucketed(bounds), "_bucket long, _key long").groupBy("_bucket").agg(F.max("_key").alias("_first")).toArrow().sort_by("_bucket")
+    buckets, firsts = found.column("_bucket").to_numpy(), found.column("_first").to_numpy()
+    if len(buckets):
+        # The bucket above; the highest one's first row closes the lowest.
+        rows = rows.mapInArrow(_dealt(bounds, _salts(spark, n), firsts, np.roll(buckets, -1)), f"_salt long, _bucket long, _extra boolean, _key long, _id {kind}, _text string")
+    else:
+        rows = rows.select(F.lit(0).cast("long").alias("_salt"), F.lit(0).cast("long").alias("_bucket"), F.lit(False).alias("_extra"), "_key", "_id", "_text")
+    return rows.repartition(n, "_salt").sortWithinPartitions("_bucket", "_extra", F.col("_key").desc(), "_text")
 
 
 def compare_neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,12 +7,12 @@ count and scaled to unit length. Weights are learnt one text after the other wit
 leader updates; a score is the logistic of a sparse dot product.
 
 Training uses a bounded sample of labelled texts (max_train, those with the least md5 of
-their id), so what reaches the driver and what goes to the tasks, 2 ** bits weights, is
-bounded. Scoring covers every whole text and needs no shuffle.
+their id, while their features are at most max_features), so what reaches the driver and what goes to the tasks, 2 ** bits weights, is
+bounded in bytes, whatever the lengths of texts. Texts are used whole or not at all. Scoring covers every whole text and needs no shuffle.
 
 A null or empty text has no feature but the constant one and gets the constant's score.
 Labels that are null, or whose text is absent, train nothing; without labels every score is
-0.5. Repeated rows are scored alike. An empty table gives no rows. Results of score() are
+0.5. Repeated rows are scored alike, and very long texts whole. An empty table gives no rows. Results of score() are
 added under the given names after dropping columns of those names from the input.
 """
 
@@ -26,11 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from strandlog.workspace import materialize, release
+
 from .tables import table
 from .textvec import _BYTE_CODES, _LOWER, _SPACE, _U, mix64, seeds, slices, span_hashes, utf8
 
 BITS = 18
 MAX_TRAIN = 12_000
+#: Features (8 bytes each) that the training texts have together at most, and those fetched to the driver at a time.
+MAX_FEATURES, FETCHED = 24_000_000, 3_000_000
 THRESHOLD = 0.3
 #: Value of the constant feature beside others; alone it is 1.
 CONSTANT = 0.2
@@ -117,11 +121,14 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for part in slices(batch, "_text"):
             idx, values, bounds = features(part.column("_text"))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((idx, pa.int32()), (values, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column("_rank"), part.column("_label"), *lists], names=["_rank", "_label", "idx", "val"])
+            count = pa.array(np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([part.column("_rank"), part.column("_label"), count, *lists], names=["_rank", "_label", "_count", "idx", "val"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Weights from at most max_train labelled texts, those with the least md5 of their id."""
+def train(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES
+) -> tuple[np.ndarray, float]:
+    """Weights from at most max_train labelled texts, those with the least md5 of their id, as many as have max_features features together."""
     rank = F.md5(F.col("_id").cast("string"))
     few = (
         labels.select(labels[id].alias("_id"), labels[label].cast("double").alias("_label")).dropna()
@@ -129,9 +136,23 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     )
     # few has max_train rows of 60 bytes at most, whatever the size of labels.
     chosen = docs.select(docs[id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(few), "_id").select("_rank", "_label", "_text")
-    got = chosen.mapInArrow(_sample_features, "_rank string, _label double, idx array<int>, val array<float>").toArrow().sort_by([("_rank", "ascending"), ("_label", "ascending")])
-    rows = [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(got.column("idx"), got.column("val"), strict=True)]  # no copies
-    return ftrl(rows, np.asarray(got.column("_label")))
+    found = materialize(chosen.mapInArrow(_sample_features, "_rank string, _label double, _count long, idx array<int>, val array<float>"), "features")
+    # Bounds the driver's memory whatever the lengths of texts: ranks up to one that all labelled texts up to it fit with; ids of several rows make few more.
+    sizes = found.groupBy("_rank").agg(F.sum("_count").alias("_count")).toArrow().sort_by("_rank")
+    ranks, total = sizes.column("_rank").to_pylist(), np.cumsum(sizes.column("_count").to_numpy())
+    fit = int(np.searchsorted(total, max_features, "right"))
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    marks: list[float] = []
+    at = 0
+    while at < fit:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FETCHED, "right")))
+        to = min(to, fit)
+        got = found.filter(F.col("_rank").between(ranks[at], ranks[to - 1])).toArrow().sort_by([("_rank", "ascending"), ("_label", "ascending"), ("_count", "ascending")])
+        rows += [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(got.column("idx"), got.column("val"), strict=True)]  # no copies
+        marks += got.column("_label").to_pylist()
+        at = to
+    release(found)
+    return ftrl(rows, np.array(marks))
 
 
 def score_column(column: pa.Array, weights: np.ndarray, constant: float) -> np.ndarray:

@@ -8,7 +8,7 @@ spans of kind `random`. What patterns' spans leave of a run on either side is ju
 a run of its own, if it has 20 characters.
 
 Ordinary are identifiers and words, and what repeats or counts: each character is the
-one 1 to 4 places before it, or follows the last one in the alphabet, but for a share of SLIPS. Long
+one 1 to 4 places before it, or follows the last one in the alphabet, but for a share of SLIPS. So are UUIDs, which name things. Long
 numbers that do neither count as random, like keys of letters alone.
 The other models are trained from labelled samples: random strings drawn from a seeded
 generator, and identifiers and words composed by rule from the lists below.
@@ -37,6 +37,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 KINDS = ("assign", "access", "hex", "random")
 #: Log-likelihood ratio per character above which a run counts as random.
 THRESHOLD = 0.35
@@ -83,6 +84,15 @@ def samples(n: int = 1500, seed: int = 8) -> list[tuple[str, int]]:
         if r.random() < 0.25:
             text += r.choice(["_", "-", ""]) + str(r.choice([1, 2, 3, 10, 64, 256, 2020, 2024]))
         out.append((text, 0))
+    dress = (str, str, str.capitalize, str.capitalize, str.upper)
+    for _ in range(n * 2):  # paths and names whose parts look unlike each other
+        sign = r.choice(["/", "/", "_", "-", ""])
+        parts = [r.choice(dress)(r.choice(plain)) for _ in range(r.randint(3, 7))]
+        if r.random() < 0.5:
+            parts[r.randrange(len(parts))] += r.choice(["", "-", "_"]) + str(r.choice([*range(10), 10, 11, 14, 16, 32, 64, 86, 128, 256, 2024]))
+        if r.random() < 0.2:
+            parts.append("__" + r.choice(plain) + "__")
+        out.append((r.choice(["", "", sign]) + sign.join(parts), 0))
     for a, letters in enumerate(ALPHABETS):
         out += [("".join(r.choice(letters) for _ in range(r.randint(20, 44))), 1 + a) for _ in range(n)]
     for _ in range(n):
@@ -115,12 +125,17 @@ def _regular(at: np.ndarray) -> float:
     return hits * np.log(1 - SLIPS + slip) + (len(at) - 1 - hits) * np.log(slip)
 
 
+def _formed(run: str) -> float:
+    """Log-likelihood as a UUID: a form in which 32 digits are free."""
+    return -32 * np.log(16) if UUID.fullmatch(run) else -np.inf
+
+
 def ratio(run: str) -> float:
     """Log-likelihood ratio per character, random against ordinary."""
     tables, place = _model()
     at = place[np.frombuffer(run.encode(), np.uint8)]
     likely = tables[:, at[:-1], at[1:]].sum(axis=1)
-    return float((likely[1:].max() - max(likely[0], _regular(at))) / (len(run) - 1))
+    return float((likely[1:].max() - max(likely[0], _regular(at), _formed(run))) / (len(run) - 1))
 
 
 def spans(text: str) -> list[tuple[int, str, int]]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -533,6 +534,82 @@ def test_runs_beside_patterns_are_scored():
     assert [k for _, k, _ in secret_scan.spans(f"the-name-of-the-server-config-{digest}")] == ["hex"]
 
 
+def brute_spans(text):
+    """Base spans, character by character."""
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            part = text[at : at + len(name)]
+            if part.isascii() and part.lower() == name:
+                p = at + len(name)
+                p += text[p : p + 1] in ("'", '"')
+                p = run(p, " ")
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p = run(p + 1, " ")
+                p += text[p : p + 1] in ("'", '"')
+                end = run(p, string.ascii_letters + string.digits + "+/_.=-")
+                if end > p:
+                    return end, end - p >= 6
+        return None
+
+    def access(at):
+        end = run(at + 4, string.ascii_uppercase + string.digits) if text[at : at + 4] == "AKIA" else at
+        return (end, end - at >= 20) if end > at + 4 else None
+
+    def hexadecimal(at):
+        end = run(at, "0123456789abcdef")
+        return (end, end - at >= 24) if end > at else None
+
+    out = []
+    for k, match in enumerate((assign, access, hexadecimal)):
+        at = 0
+        while at < len(text):
+            found = match(at)
+            if found and found[1]:
+                out.append((at, k, found[0]))
+            at = found[0] if found else at + 1
+    return [(s, secret_scan.KINDS[k], e) for s, k, e in sorted(out)]
+
+
+def test_base_spans_against_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    out = rows_of(queries()["op8_secret_scan"](spark, sf))
+    assert len(out) == len(texts) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in out) > 20
+    for r in out:
+        found = brute_spans(texts[r["doc_id"]])
+        listed = [f"{k}:{s}:{e}" for s, k, e in found]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in found) for x in ("assign", "access", "hex"))
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == listed
+    r = random.Random(11)
+    for _ in range(3000):
+        text = "".join(r.choice(["token", "Secret", "api_key", "APIKEY", "passwd", "password", "pass", "AKIA", "=", ":", " ", "'", '"', "abc", "0f", "é", "\n", "\u212a", "ABCDEFGH", "01234567", "deadbeef" * 3]) for _ in range(r.randint(1, 14)))
+        assert [x for x in secret_scan.spans(text) if x[1] != "random"] == brute_spans(text)
+
+
+def test_what_is_random_and_what_is_not():
+    r = random.Random(31)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.digits, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"]
+    for letters in alphabets:
+        keys = ["".join(r.choice(letters) for _ in range(r.choice([20, 24, 32, 40]))) for _ in range(300)]
+        assert np.mean([any(s <= 4 and e >= 4 + len(k) for s, _, e in secret_scan.spans(f"key {k} end")) for k in keys]) > 0.98
+    assert not any(secret_scan.spans(f"id {uuid.UUID(int=r.getrandbits(128))} end") for _ in range(300))
+    import pathlib
+    import sysconfig
+
+    runs = {m[0] for p in pathlib.Path(sysconfig.get_paths()["stdlib"]).glob("*.py") for m in secret_scan.RUN.finditer(p.read_text(errors="replace"))}
+    assert len(runs) > 1000 and np.mean([any(k == "random" for _, k, _ in secret_scan.spans(x)) for x in runs]) < 0.04
+
+
 def test_secret_scan_frames(edge, nothing):
     out = {r["doc_id"]: r for r in secret_scan.scan(edge).collect()}
     assert (out[19]["n_assign"], out[19]["n_access"], out[19]["n_hex"], out[19]["n_random"]) == (1, 1, 1, 1)

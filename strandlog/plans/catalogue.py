@@ -12,7 +12,7 @@ from strandlog import model as M
 from strandlog.functions import checks, frames, scan
 from strandlog.operators import cursors, log, retention, segments, stats
 from strandlog.plans.logs import ACKS, CONVERSATION_LOG, EVENT_LOG, acks, conversation_log, event_log, event_messages, table
-from strandlog.sources import codec
+from strandlog.sources import codec, native
 from strandlog.streaming import follow
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,3 +497,38 @@ def recovery_prefix(spark, sf_dir):
     framed = codec.encode(rows.drop("event_id")).join(hurt, ["topic", "base"], "left")
     flipped = F.concat(F.expr("substring(frame, 1, 60)"), F.unhex(F.lit("FF")), F.expr("substring(frame, 62)"))
     return codec.recover(framed.withColumn("frame", F.when(F.col("hurt"), flipped).otherwise(F.col("frame"))))
+
+
+@_query(f"""WITH RECURSIVE {_SEGMENTED}, B AS (SELECT Q.topic, Q.base, Q.o, Q.frame_bytes, min(CASE WHEN L.event_id % 499 = 7 THEN Q.o END) OVER (PARTITION BY Q.topic, Q.base) AS bad
+  FROM Q JOIN L USING (topic, o)),
+R AS (SELECT topic, base, sum(frame_bytes)::BIGINT AS bytes, coalesce(sum(frame_bytes) FILTER (bad IS NULL OR o < bad), 0)::BIGINT AS valid_bytes, coalesce(min(bad), max(o) + 1) AS next_offset,
+  CASE WHEN min(bad) IS NOT NULL THEN 'crc_mismatch' END AS code FROM B GROUP BY ALL)
+SELECT *, base = max(base) OVER (PARTITION BY topic) AS last, base < max(base) OVER (PARTITION BY topic) AND code IS NOT NULL AS fatal FROM R""")
+def recover_segments(spark, sf_dir):
+    rows = event_log(spark, sf_dir).select("topic", "event_id", "offset", "batch_base", "timestamp_ms", "key", F.col("payload").cast("binary").alias("payload"))
+    parts = segments.assign(event_log(spark, sf_dir), _SEGMENT_BYTES).select("topic", F.col("offset").alias("base"), "segment_base")
+    hurt = rows.select("topic", F.col("batch_base").alias("base"), (F.col("event_id") % 499 == 7).alias("hurt"))
+    framed = codec.encode(rows.drop("event_id")).join(hurt, ["topic", "base"]).join(parts, ["topic", "base"])
+    flipped = F.concat(F.expr("substring(frame, 1, 60)"), F.unhex(F.lit("FF")), F.expr("substring(frame, 62)"))
+    framed = framed.withColumn("frame", F.when(F.col("hurt"), flipped).otherwise(F.col("frame")))
+    # A segment's frames end to end, at most _SEGMENT_BYTES of them.
+    each = F.sort_array(F.collect_list(F.struct("base", F.hex("frame").alias("frame"))))
+    files = framed.groupBy("topic", "segment_base").agg(F.unhex(F.concat_ws("", F.transform(each, lambda x: x["frame"]))).alias("content"))
+    return native.judged(native.scanned(files.withColumnRenamed("segment_base", "base"), "topic"), "topic")
+
+
+@_query("SELECT * FROM (VALUES (0, 'ok'), (1, 'ok'), (2, 'size'), (3, 'magic'), (4, 'version'), (5, 'checksum'), (6, 'state')) AS v(number, verdict)")
+def checkpoint_states(spark, sf_dir):
+    sound = native.checkpoint_bytes(native.Checkpoint(40, 30, 1000))
+    bad = native.CHECKPOINT.pack(0, 0, 0, 0, 40, 30, 1000, 41)[8:]
+    cases = (
+        sound, native.checkpoint_bytes(native.Checkpoint(0, 0, 0)), sound[:-1], b"T" + sound[1:], sound[:1] + b"\x02" + sound[2:], sound[:-1] + b"\x00",
+        native.CHECKPOINT.pack(native.CHECKPOINT_MAGIC, 1, 0, int(codec.crc32c([bad])[0]), 40, 30, 1000, 41),
+    )
+    rows = _values(spark, list(enumerate(map(bytearray, cases))), "number int, data binary")
+    part = lambda at, n: F.conv(F.hex(F.substring("data", at + 1, n)), 16, 10).cast("long")
+    states = F.when(F.octet_length("data") != 40, "size").when(part(0, 1) != 0x53, "magic").when(part(1, 1) != 1, "version")
+    states = states.when(part(4, 4) != codec.crc32c_column(F.expr("substring(data, 9)")), "checksum")
+    consistent = (part(8, 8) >= 0) & (part(16, 8) >= 0) & (part(24, 8) >= 0) & (part(32, 8) == part(8, 8)) & (part(16, 8) <= part(8, 8))
+    return rows.select("number", states.when(~consistent, "state").otherwise("ok").alias("verdict"))
+

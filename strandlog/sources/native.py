@@ -50,12 +50,13 @@ def discover(spark: SparkSession, folder: str) -> list[SegmentFile]:
 
 
 def _contents(spark: SparkSession, files: list[SegmentFile]) -> DataFrame:
-    """(base, last, content) of every file."""
+    """(base, last, content) of every file; the reader has no row for an empty one."""
     if not files:
         return spark.createDataFrame([], "base long, last boolean, content binary")
     base = F.regexp_extract("path", rf"(\d{{20}})\{SUFFIX}$", 1).cast("long")
     rows = spark.read.format("binaryFile").load([f.path for f in files]).select(base.alias("base"), "content")
-    return rows.select("base", (F.col("base") == files[-1].base).alias("last"), "content")
+    every = spark.createDataFrame([(f.base, f is files[-1]) for f in files], "base long, last boolean")  # a row a segment
+    return every.join(rows, "base", "left").select("base", "last", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def read(spark: SparkSession, folder: str, start: int = 0, end: int | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def read(spark: SparkSession, folder: str, start: int = 0, end: int | None = Non
     Frames that hold none of them aren't decoded. An incomplete frame at the end of the last segment isn't read; any other damage fails the job.
     """
     files = discover(spark, folder)
-    ends = [f.base for f in files[1:]] + [None]
+    ends = [*(f.base for f in files[1:]), None][: len(files)]
     some = [f for f, e in zip(files, ends, strict=True) if (e is None or e > start) and (end is None or f.base < end)]
     newest = files[-1].base if files else -1
 

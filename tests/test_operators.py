@@ -1,5 +1,7 @@
 """Operators on hand-made cases."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlog import config, errors
-from strandlog.functions import checks, frames, scan
+from strandlog.functions import checks, fold, frames, scan
 from strandlog.functions.fold import Cut, Marks
 from strandlog.operators import cursors, log, retention, segments, stats
 from strandlog.sources import codec
@@ -259,3 +261,19 @@ def test_config_layers(tmp_path):
 def test_statuses():
     assert errors.status_of(errors.NotFound("x")) == ("NotFound", "x") and errors.status_of(ValueError("secret")) == ("Internal", "internal error")
     assert errors.status_of(errors.Corrupt("disk"))[0] == "Internal" and errors.status_of(TimeoutError())[0] == "DeadlineExceeded"
+
+
+def test_runs_over_many_blocks(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(t, o, r.choice([0, 1, 3, 50, 400])) for t, n in (("a", 700), ("b", 1), ("c", 333)) for o in sorted(r.sample(range(900), n))]
+    df = spark.createDataFrame(rows, "topic string, offset long, size long")
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(fold, "RUN_BLOCK", block)
+        for max_bytes, limit in ((500, 0), (0, 13), (1000, 5), (60, 100), (10**6, 0), (0, 10**6), (1, 0)):
+            want = []
+            for topic in "abc":
+                own = [(o, s) for t, o, s in rows if t == topic]
+                number, base = fold.Cut(max_bytes, limit).take(np.array([o for o, _ in own]), np.array([s for _, s in own]))
+                want += [(topic, o, int(n), int(b)) for (o, _), n, b in zip(own, number, base, strict=True)]
+            assert sorted(map(tuple, fold.runs(df, "size", max_bytes, limit).collect())) == want
+    assert fold.runs(df.limit(0), "size", 5).count() == 0

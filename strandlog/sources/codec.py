@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,33 +56,61 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
-#: Rows below which stepping through all rows at once costs more than one row after the other.
-_FEW = 16
+#: Rows below which stepping through all rows at once costs more than one row after the other; bytes of the parts that longer rows are cut into.
+_FEW, _PART = 16, 1024
 
 
-def crc32c(rows: list[bytes]) -> np.ndarray:
-    """CRC-32C of each byte string: all of them one byte further at a time, the few longest then each for itself."""
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+def _registers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The registers after the bytes of each part, from value: all parts one byte further at a time, the few longest then each for itself."""
     order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
-    data, left = np.frombuffer(b"".join(rows), np.uint8), sizes[order]
-    value = np.full(len(rows), 0xFFFFFFFF, np.uint32)
-    together = int(left[_FEW - 1]) if len(rows) >= _FEW else 0
+    starts, left, value = starts[order], sizes[order], value[order]
+    together = int(left[_FEW - 1]) if len(left) >= _FEW else 0
     active = np.searchsorted(-left, -np.arange(1, together + 1), "right")
     for i, n in enumerate(active):
         part = value[:n]
         value[:n] = (part >> np.uint32(8)) ^ _CRC[(part ^ data[starts[:n] + i]) & 0xFF]
     table = _CRC.tolist()
-    for k in range(min(_FEW, len(rows))):
+    for k in range(min(_FEW, len(left))):
         crc = int(value[k])
-        for byte in rows[order[k]][together:]:
+        for byte in data[starts[k] + together : starts[k] + left[k]].tolist():
             crc = (crc >> 8) ^ table[(crc ^ byte) & 0xFF]
         value[k] = crc
-    out = np.empty(len(rows), np.uint32)
-    out[order] = ~value
+    out = np.empty(len(left), np.uint32)
+    out[order] = value
     return out
 
 
+@lru_cache(maxsize=1)
+def _passed() -> list[list[int]]:
+    """What _PART zero bytes make of a register, by its four bytes: the register is linear in them."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    after = _registers(np.zeros(_PART, np.uint8), np.zeros(32, np.int64), np.full(32, _PART), bits)
+    ones = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(bool)
+    return [np.bitwise_xor.reduce(np.where(ones, after[8 * k : 8 * k + 8][None, :], np.uint32(0)), axis=1).tolist() for k in range(4)]
+
+
+def crc32c(rows: list[bytes]) -> np.ndarray:
+    """CRC-32C of each byte string. Long ones are cut into parts of _PART bytes, the first one shorter, which run beside each other."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(rows), np.uint8)
+    parts = np.maximum(1, -(-sizes // _PART))
+    of = np.repeat(np.arange(len(rows)), parts)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    head = sizes - (parts - 1) * _PART
+    at = starts[of] + np.where(place > 0, head[of] + (place - 1) * _PART, 0)
+    value = _registers(data, at, np.where(place > 0, _PART, head[of]), np.where(place > 0, 0, 0xFFFFFFFF).astype(np.uint32))
+    out = value[place == 0]
+    if (long := np.flatnonzero(parts > 1)).size:
+        a, b, c, d = _passed()
+        first = np.cumsum(parts) - parts
+        for i in long.tolist():
+            crc = int(out[i])
+            for more in value[first[i] + 1 : first[i] + parts[i]].tolist():
+                crc = a[crc & 0xFF] ^ b[crc >> 8 & 0xFF] ^ c[crc >> 16 & 0xFF] ^ d[crc >> 24] ^ more
+            out[i] = crc
+    return ~out
+
+
 def crc32c_column(data: Column) -> Column:
     @F.arrow_udf(T.LongType())
     def checksum(values: pa.Array) -> pa.Array:

@@ -13,7 +13,8 @@ of its words, or if it fails the base counts (fewer than min_words words, or mor
 than max_repeat per cent of them inside repeated 3-word windows).
 
 Everything is a DataFrame expression over one row: no shuffle and no Python. Windows
-are compared by 64-bit hashes within one document.
+are compared by 64-bit hashes within one document; up to 2 ** POSITION_BITS windows by the 44 upper bits first and then in full, which
+goes wrong only where three different windows of a document share those 44 bits. Very long texts are judged whole.
 
 Null or empty text: no words, base_failed, not kept, cleaned text ''. Repeated rows
 and ties: each row is judged alone. Empty table: empty result. Input columns stay as

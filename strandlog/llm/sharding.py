@@ -11,7 +11,7 @@ of md5 of key and checksum: one window per shard and part, and a running sum ove
 
 A null key counts as ''. A null text has size 8 and checksum 0. Rows of one key go to one
 shard, by checksum there; equal rows take neighbouring places in any order. An empty table
-gives no rows. Only the named columns are read, so further columns can't clash.
+gives no rows. Of texts, however long, only size and checksum are shuffled. Only the named columns are read, so further columns can't clash.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ remembers up to HOT windows that it met twice in a slice and sends them again on
 earlier place. Shorter windows are compared by 64-bit hashes, where a collision only
 adds a candidate; full windows by 96 bits.
 
-A null or empty text has no words and keeps ''. Rows with the same id and the same text count
+A null or empty text has no words and keeps ''. Very long texts have all their windows; a task has one in memory if it exceeds a slice. Ties: of
+windows that start at one place of one text there is one. Rows with the same id and the same text count
 as one document and are each returned; those with the same id and different texts are
 ordered by a hash of their content; a null id comes first. An empty table gives no rows. Only the
 named columns are read, so further columns can't clash. Ids are whole numbers.

@@ -70,6 +70,11 @@ def test_quality_rules_cleans_lines(spark):
     assert "home" not in q["text"] and "rights" not in q["text"] and q["n_failed_lines"] == 2 and q["text"].startswith("A plain line")
 
 
+def test_empty_tables(nothing):
+    assert quality_rules.quality_rules(nothing).count() == 0 and substring_dedup.remove_repeats(nothing).count() == 0
+    assert sharding.assign(nothing, weights=(1.0,) * 24, grown=(1.0,) * 25).count() == 0
+
+
 def test_positions_beyond_the_packed_bits(edge, monkeypatch):
     want = rows_of(quality_rules.quality_rules(edge).select("quality.n_repeat_words"))
     monkeypatch.setattr(quality_rules, "POSITION_BITS", 3)

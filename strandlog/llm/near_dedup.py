@@ -20,7 +20,7 @@ component of a group are held against all, those inside only against those outsi
 copies is sent once for every block of nodes that aren't linked to it. A group of nodes that are within the distance
 and not similar enough has as many comparisons as pairs, in memory, but never as many rows.
 
-Components come from minimum labels with pointer jumping, each round written to the shared
+Components come from contracting trees of least neighbours, each step written to the shared
 folder. Nothing but counts reaches the driver.
 
 A null or empty text, or one without words, has the empty set and is linked with nothing.
@@ -340,22 +340,45 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).filter("_a < _b").distinct()
 
 
+def _roots(to: DataFrame) -> DataFrame:
+    """(node, comp) from (node, to), a forest in which every node is tied to a lesser one or to itself: its tree's root."""
+    hops = materialize(to, "hops")
+    while True:
+        further = hops.select(F.col("_node").alias("_to"), F.col("_to").alias("_next"))
+        jumped = materialize(hops.join(further, "_to").select("_node", F.col("_next").alias("_to"), (F.col("_next") < F.col("_to")).alias("_moved")), "hops")
+        release(hops)
+        hops = jumped.select("_node", "_to")
+        hops.written_to = jumped.written_to
+        if not jumped.filter("_moved").limit(1).count():
+            return hops
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of links (a, b): the least node reachable.
 
-    Spark splits what a hot component sends to one task in these joins (adaptive skew joins); its aggregates are partial.
+    Every node is tied to its least neighbour; the trees that this makes are contracted to their roots, and the edges between them go
+    through the same again, until there are none. So each edge is joined twice, and again only if it still leads to
+    another tree. Spark splits what a hot component sends to one task in these joins (adaptive skew joins); aggregates are partial.
     """
-    edges = materialize(links.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")).union(links.select("_b", "_a")), "edges")
-    labels = materialize(edges.groupBy("_x").agg(F.least(F.col("_x"), F.min("_y")).alias("_comp")).withColumnRenamed("_x", "_node"), "labels")
+    edges = materialize(_pairs(links).select(F.col("_a").alias("_x"), F.col("_b").alias("_y")), "edges")
+    labels = None
     while True:
-        beside = edges.join(labels.withColumnRenamed("_node", "_y"), "_y").groupBy("_x").agg(F.min("_comp").alias("_least"))
-        lower = labels.join(beside.withColumnRenamed("_x", "_node"), "_node").select("_node", F.least("_comp", "_least").alias("_to"), "_comp")
-        jump = labels.select(F.col("_node").alias("_to"), F.col("_comp").alias("_next"))
-        step = materialize(lower.join(jump, "_to").select("_node", F.least("_to", "_next").alias("_comp"), F.col("_comp").alias("_was")), "labels")
-        release(labels)
-        labels = step.select("_node", "_comp")
-        labels.written_to = step.written_to
-        if not step.filter("_comp < _was").limit(1).count():
+        both = edges.union(edges.select("_y", "_x"))
+        roots = _roots(both.groupBy(F.col("_x").alias("_node")).agg(F.least(F.col("_x"), F.min("_y")).alias("_to")))
+        root = lambda c: roots.select(F.col("_node").alias(c), F.col("_to").alias(f"{c}_root"))
+        if labels is None:
+            labels = roots.select("_node", F.col("_to").alias("_comp"))
+            labels.written_to = roots.written_to
+        else:
+            before, labels = labels, materialize(labels.join(root("_comp"), "_comp", "left").select("_node", F.coalesce("_comp_root", "_comp").alias("_comp")), "labels")
+            release(before)
+        left = _pairs(edges.join(root("_x"), "_x").join(root("_y"), "_y").select(F.col("_x_root").alias("_a"), F.col("_y_root").alias("_b")))
+        left = materialize(left.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")), "edges")
+        release(edges)
+        if labels.written_to != roots.written_to:
+            release(roots)
+        edges = left
+        if not edges.limit(1).count():
             release(edges)
             return labels
 

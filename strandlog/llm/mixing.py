@@ -9,8 +9,8 @@ need; with one it makes the expected tokens kept the budget's share, and cells t
 exceed 1 are kept whole and the factor grows for the rest. A document stays if a number in [0, 1) from md5 of seed and id is below
 its cell's probability.
 
-Targets are shares proportional to tokens to a power (0.5 for sources, 0.7 for languages, 0.8
-for topics), or given shares; a value that is not among given shares has the target 0. Only the
+Targets are shares proportional to tokens to a power (0.5 for sources, 0.7 for languages, 1
+for topics, which keeps the corpus's shares of topics while sources and languages move), or given shares; a value that is not among given shares has the target 0. Only the
 table of cells is shuffled; documents meet it in a broadcast join while it has at most
 MAX_CELLS rows, and in a shuffled join beyond that. Sums over the cells of a value are windows while cells are so few, and partial
 aggregates joined back beyond that, so values may be as many as web hosts, and one may have most cells.
@@ -40,7 +40,7 @@ ROUNDS = 12
 ROUNDS_A_TABLE = 4
 #: The share of tokens that op7's query keeps, as its SQL states.
 BUDGET = 0.5
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 MAX_CELLS = 20_000
 #: Greatest difference of a marginal from its target at which raking ends, and blocks of the cells' order.
 TOLERANCE, BLOCKS = 1e-13, 64

@@ -322,6 +322,19 @@ def test_repeated_ids(spark):
     assert (7, rows[2][1], "s14") in kept or (7, rows[2][1], "s2") in kept
 
 
+def test_components(spark):
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + i - 1) for i in range(40, 0, -1)] + [(200, 200 + i) for i in range(1, 30)] + [(330, 300 + i) for i in range(30)]
+    links += [tuple(r.sample(range(400, 600), 2)) for _ in range(140)] + [(7, 7), (1, 0), (0, 1)]
+    comp = {x: x for e in links for x in e}
+    for a, b in links:
+        x, y = sorted((comp[a], comp[b]))
+        comp = {k: x if v == y else v for k, v in comp.items()}
+    found = near_dedup.components(spark.createDataFrame(links, "_a long, _b long"))
+    assert {q["_node"]: q["_comp"] for q in found.collect()} == comp
+    assert near_dedup.components(spark.createDataFrame([], "_a long, _b long")).count() == 0
+
+
 def test_keys_guarantee_pairs_within_the_distance():
     r = np.random.default_rng(1)
     allowed = near_dedup.errors(85)
@@ -488,7 +501,13 @@ def test_mixing_moves_all_three_marginals(spark):
         tokens = out.n_tokens.groupby(out[name]).sum()
         want = tokens**power / (tokens**power).sum()
         kept = (out.p * out.n_tokens).groupby(out[name]).sum()
-        assert (kept / kept.sum()).to_dict() == pytest.approx(want.to_dict(), abs=1e-3) and (tokens / tokens.sum() - want).abs().max() > 1e-3
+        assert (kept / kept.sum()).to_dict() == pytest.approx(want.to_dict(), abs=1e-3)
+        if power < 1:
+            assert (tokens / tokens.sum() - want).abs().max() > 1e-3
+    # Without a target the topics' shares would move with those of sources and languages.
+    free = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), targets={"source": 0.5, "lang": 0.7}).select("mix.*").toPandas()
+    kept = (free.p * free.n_tokens).groupby(free.topic).sum()
+    assert (kept / kept.sum() - want).abs().max() > 1e-3
 
 
 def test_mixing_edges(edge, nothing):

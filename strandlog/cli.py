@@ -6,7 +6,7 @@ import argparse
 import sys
 from datetime import datetime, timezone
 
-from strandlog import errors
+from strandlog import __version__, errors
 from strandlog import model as M
 from strandlog.config import duration_ms, load
 from strandlog.workspace import new_path
@@ -14,7 +14,8 @@ from strandlog.workspace import new_path
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandlog")
-    p.add_argument("--config")
+    p.add_argument("--config", help="a JSON or YAML file")
+    p.add_argument("--version", action="version", version=f"strandlog {__version__}")
     p.add_argument("--data-dir")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("info")

@@ -18,6 +18,30 @@ SYNC_MODES = ("every-write", "interval")
 ENVIRONMENT = {"STRANDLOG_DATA_DIR": "data_dir", "STRANDLOG_LOG_LEVEL": "log_level", "STRANDLOG_SYNC_MODE": "sync_mode", "STRANDLOG_ADDRESS": "address"}
 
 
+# Names in a configuration file with sections, and those that say nothing here, where there is no network server.
+SECTIONS = ("storage", "subscribe")
+OTHER_NAMES = {"listen_addr": "address", "segment_max_bytes": "segment_bytes", "index_interval_bytes": "index_interval"}
+OF_SERVERS = ("max_recv_msg_size", "max_send_msg_size", "development", "shutdown_grace")
+
+
+def _parsed(path: str) -> dict:
+    """Settings of a JSON or YAML file, those in sections beside the others."""
+    with open(path) as f:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as error:
+                raise InvalidArgument("YAML can't be read here; use JSON") from error
+            found = yaml.safe_load(f) or {}
+        else:
+            found = json.load(f)
+    flat = {k: v for k, v in found.items() if k not in SECTIONS}
+    for section in SECTIONS:
+        flat |= found.get(section) or {}
+    named = {k.replace("-", "_"): v for k, v in flat.items()}
+    return {OTHER_NAMES.get(k, k): v for k, v in named.items() if k not in OF_SERVERS}
+
+
 def duration_ms(text: str | int | float) -> float:
     """Milliseconds of a duration such as '1m30s', '100ms' or '-2h'; plain '0' is 0."""
     if isinstance(text, (int, float)):
@@ -64,11 +88,10 @@ class Config:
 
 
 def load(path: str | None = None, environment: Mapping[str, str] = os.environ) -> Config:
-    """The configuration from a JSON file and the environment; empty variables don't count."""
+    """The configuration from a JSON or YAML file and the environment; empty variables don't count."""
     config = Config()
     if path:
-        with open(path) as f:
-            given = {k.replace("-", "_"): v for k, v in json.load(f).items()}
+        given = _parsed(path)
         for name in ("sync_interval", "retention_interval", "grace"):
             if name in given:
                 given[name + "_ms"] = duration_ms(given.pop(name))

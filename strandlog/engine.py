@@ -448,36 +448,50 @@ class Engine:
         with self._lock(topic):
             return self._retried(run)
 
-    def compact(self, topic: str) -> int:
+    def compact(self, topic: str, least_gain: float = 0.1, most_segments: int = 4) -> int:
         """Rewrite sealed segments of a topic with the compact policy, keeping each key's last record; returns records removed.
 
-        Offsets stay, so reads see holes. The last segment isn't rewritten.
+        The oldest segments that would lose least_gain of their bytes or more are rewritten, most_segments of them at a time, each for
+        itself; those that lose all records go. Offsets stay, so reads see holes. The last segment isn't rewritten.
         """
         self._running()
         found, table = self._found(topic)
         if found.config.cleanup != "compact":
             raise E.InvalidArgument(f"topic {topic!r} isn't compacted")
+
         def run() -> int:
             manifest = table.manifest() or Manifest()
             sealed = manifest.segments[:-1]
             if not sealed:
                 return 0
             active = manifest.segments[-1].base
-            every = table.read(manifest.log_start, manifest)
+            every = table.read(manifest.log_start, manifest).withColumn("_segment", F.regexp_extract(F.input_file_name(), r"segment=(\d{20})", 1).cast("long"))
             kept = ops.compact(every, F.lit(active)).filter(F.col("offset") < active)
-            staged = table.stage(kept)
-            n, size, last = self.spark.read.parquet(staged).agg(F.count("*"), F.sum("frame_bytes"), F.max_by("timestamp_ms", "offset")).first()
-            before = every.filter(F.col("offset") < active).count()
-            base, end = sealed[0].base, sealed[-1].next_offset
-            path = table.publish(staged, base, base)
-            merged = Segment(base, end, size or 0, last or 0, [path], [[base, end, size or 0, last or 0]])
-            manifest.segments = [merged, manifest.segments[-1]]
-            self._drop(table, manifest, sealed)
+            sums = lambda rows: {r["_segment"]: r for r in rows.groupBy("_segment").agg(F.count("*").alias("n"), F.sum("frame_bytes").alias("size"), F.max_by("timestamp_ms", "offset").alias("last")).collect()}
+            before, after = sums(every.filter(F.col("offset") < active)), sums(kept)  # a row a segment
+            size = lambda of, s: of[s.base]["size"] if s.base in of else 0
+            chosen = [s for s in sealed if size(after, s) < size(before, s) and size(after, s) <= (1 - least_gain) * size(before, s)][:most_segments]
+            if not chosen:
+                return 0
+            bases = [s.base for s in chosen]
+            staged = table.stage(kept.filter(F.col("_segment").isin(bases)), "_segment")
+            rewritten, removed = {}, 0
+            for s in chosen:
+                removed += before[s.base]["n"] - (after[s.base]["n"] if s.base in after else 0)
+                if s.base in after:
+                    path = table.publish(f"{staged}/_segment={s.base}", s.base, s.base)
+                    last = after[s.base]["last"]
+                    rewritten[s.base] = Segment(s.base, s.next_offset, size(after, s), last, [path], [[s.base, s.next_offset, size(after, s), last]])
+            manifest.segments = [rewritten.get(s.base) if s.base in bases else s for s in manifest.segments]
+            manifest.segments = [s for s in manifest.segments if s is not None]
+            self._drop(table, manifest, chosen)
             table.commit(manifest)
-            return before - n
+            return removed
 
         with self._lock(topic):
-            return self._retried(run)
+            removed = self._retried(run)
+        self._count(topic, compacted_records=removed)
+        return removed
 
     def verify(self, topic: str) -> DataFrame:
         """Records, gaps and missing records between the first and the last offset."""

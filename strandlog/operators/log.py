@@ -68,15 +68,18 @@ def truncate(log: DataFrame, to: int | Column) -> DataFrame:
     return log.filter(F.col("batch_base") < to)
 
 
-def compact(log: DataFrame, active_base: Column | None = None, topic: str = "topic") -> DataFrame:
+def compact(log: DataFrame, active_base: Column | None = None, topic: str = "topic", tombstones_before: int | None = None) -> DataFrame:
     """The last record of each key, and all records without a key; offsets stay. Records from active_base on all stay.
 
+    A last record without a payload (null) says that its key is deleted; those with a timestamp before tombstones_before go, too.
     The last offset of a key is a partial aggregate, so a hot key sends one row per task.
     """
     keyed = F.col("key") != ""
     last = log.filter(keyed).groupBy(topic, "key").agg(F.max("offset").alias("_last"))
     kept = log.join(last, [topic, "key"], "left")
     stays = ~keyed | (F.col("offset") == F.col("_last"))
+    if tombstones_before is not None:
+        stays = stays & ~(keyed & F.col("payload").isNull() & (F.col("timestamp_ms") < tombstones_before))
     if active_base is not None:
         stays = stays | (F.col("offset") >= active_base)
     return kept.filter(stays).drop("_last")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlog import errors as E
 from strandlog import model as M
 from strandlog.cli import run
-from strandlog.config import Config
+from strandlog.config import Config, load
 from strandlog.engine import Engine
 from strandlog.sources.table_log import Conflict, TableLog
 
@@ -311,3 +311,31 @@ def test_retention_loop_health_and_metrics(engine, clock):
     assert (counts["published_records"], counts["published_batches"], counts["trimmed_segments"], counts["acks"]) == (4, 4, 3, 1)
     engine.stop()
     assert engine.health() == (False, "stopped") and not engine._ticker.is_alive()
+
+
+def test_compaction_by_gain_and_number_of_segments(engine):
+    engine.create_topic("t", M.TopicConfig(cleanup="compact"))
+    for k in "abcdefghij":  # a segment each
+        engine.publish("t", [{"key": k, "payload": "x" * 400}])
+    engine.publish("t", [{"key": k, "payload": "y"} for k in "abcde"])
+    engine.publish("t", [{"key": "z", "payload": "x" * 400}])
+    assert engine.compact("t") == 4 and offsets(engine.read("t"))[:2] == [4, 5]
+    assert engine.compact("t") == 1 and engine.compact("t") == 0 and offsets(engine.read("t")) == [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    engine.publish("t", [{"key": "a", "payload": "x" * 400}])
+    assert engine.compact("t", least_gain=0.5) == 0 and engine.compact("t", least_gain=0.1) == 1 and 10 not in offsets(engine.read("t"))
+
+
+def test_tombstones(spark):
+    from strandlog.operators import log
+
+    rows = [("t", 0, "a", b"1", 10), ("t", 1, "a", None, 20), ("t", 2, "b", None, 30), ("t", 3, "", None, 1), ("t", 4, "c", None, 5), ("t", 5, "c", b"2", 6)]
+    df = spark.createDataFrame(rows, "topic string, offset long, key string, payload binary, timestamp_ms long")
+    assert offsets(log.compact(df)) == [1, 2, 3, 5] and offsets(log.compact(df, tombstones_before=25)) == [2, 3, 5]
+
+
+def test_yaml_settings(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "server.yaml"
+    path.write_text("listen-addr: 0.0.0.0:1\ndata-dir: /d\nmax-recv-msg-size: 5\nstorage:\n  segment-max-bytes: 7\n  retention-interval: 1m\nsubscribe:\n  read-limit: 9\n")
+    config = load(str(path), {})
+    assert (config.address, config.data_dir, config.segment_bytes, config.retention_interval_ms, config.read_limit) == ("0.0.0.0:1", "/d", 7, 60000, 9)

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from strandlog import errors
 from strandlog import model as M
+from strandlog.config import Config
+from strandlog.engine import Engine
 from strandlog.functions import checks, frames, scan
 from strandlog.operators import cursors, log, retention, segments, stats
 from strandlog.plans.logs import ACKS, CONVERSATION_LOG, EVENT_LOG, acks, conversation_log, event_log, event_messages, table
 from strandlog.sources import codec, native
 from strandlog.streaming import follow
+from strandlog.workspace import new_path
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -532,3 +535,25 @@ def checkpoint_states(spark, sf_dir):
     consistent = (part(8, 8) >= 0) & (part(16, 8) >= 0) & (part(24, 8) >= 0) & (part(32, 8) == part(8, 8)) & (part(16, 8) <= part(8, 8))
     return rows.select("number", states.when(~consistent, "state").otherwise("ok").alias("verdict"))
 
+
+_FED = "S AS MATERIALIZED (SELECT 'events' AS topic, row_number() OVER (ORDER BY ts, event_id) - 1 AS o, strlen(props) AS payload_bytes FROM events)"
+
+
+@_query(f"""WITH RECURSIVE {_FED}, {_greedy('S', 'payload_bytes', 16384, 1500)}
+SELECT run AS chunk, min(o) AS first, max(o) AS last, count(*) AS n_records, sum(payload_bytes)::BIGINT AS payload_bytes, true AS ordered FROM g JOIN S USING (topic, o) GROUP BY run""")
+def delivered_chunks(spark, sf_dir):
+    """What a subscriber gets of a published log: a row a chunk."""
+    engine = Engine(spark, new_path(spark, "engine"), Config(read_limit=1500, read_max_bytes=16384)).start()
+    engine.create_topic("events")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), F.col("props").alias("payload"))
+    engine.publish("events", rows.select(F.col("event_id").alias("place"), "key", "payload"), order=["place"])
+    seen: list[tuple] = []
+
+    def emit(chunk: DataFrame, number: int) -> None:
+        got = [(r["offset"], len(r["payload"])) for r in chunk.select("offset", "payload").collect()]  # read_limit records at most
+        offsets = [o for o, _ in got]
+        seen.append((number, offsets[0], offsets[-1], len(got), sum(n for _, n in got), offsets == sorted(offsets)))
+
+    engine.subscribe("events", emit, new_path(spark, "progress")).awaitTermination()
+    engine.stop()
+    return _values(spark, seen, "chunk long, first long, last long, n_records long, payload_bytes long, ordered boolean")

@@ -13,7 +13,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog import errors as E
@@ -196,9 +196,9 @@ class Engine:
             self._log(name).drop()
         logger.info("deleted topic %s", name)
 
-    def topics(self) -> DataFrame:
-        """The catalog by name."""
-        rows = [(n, t["partitions"], t["created_ms"], *(t["config"][k] for k in ("max_message_bytes", "retention_ms", "retention_bytes", "cleanup", "replication"))) for n, t in self._json("catalog.json", {}).items()]
+    def topics(self, prefix: str = "") -> DataFrame:
+        """The catalog by name: topics whose names begin with prefix."""
+        rows = [(n, t["partitions"], t["created_ms"], *(t["config"][k] for k in ("max_message_bytes", "retention_ms", "retention_bytes", "cleanup", "replication"))) for n, t in self._json("catalog.json", {}).items() if n.startswith(prefix)]
         schema = "name string, partitions int, created_ms long, max_message_bytes long, retention_ms long, retention_bytes long, cleanup string, replication int"
         return self.spark.createDataFrame(rows, schema).orderBy("name")
 
@@ -341,8 +341,23 @@ class Engine:
         feed = self.spark.readStream.schema("base long, end long").json(f"{table.path}/feed")
         return streams.deliver(feed, chunk, emit, checkpoint, position, follow)
 
+    def subscribe_each(self, topic: str, emit: Callable[[Row], None], checkpoint: str, consumer: str = "", start: int | None = None, follow: bool = False):
+        """Like subscribe, with one record at a time; an error that emit raises ends the query, which begins with that chunk again."""
+
+        def every(rows: DataFrame, _: int) -> None:
+            for row in rows.toLocalIterator():
+                emit(row)
+
+        return self.subscribe(topic, every, checkpoint, consumer, start, follow)
+
     # Cursors
 
+    def cursors(self, prefix: str = "") -> DataFrame:
+        """Stored cursors (consumer, topic, next offset) of consumers whose names begin with prefix."""
+        names = [c for c, _ in listed(self.spark, f"{self.root}/cursors") if c.startswith(prefix)]
+        rows = [(c, f.removesuffix(".json"), self._json(f"cursors/{c}/{f}", 0)) for c in names for f, _ in listed(self.spark, f"{self.root}/cursors/{c}")]
+        return self.spark.createDataFrame(rows, "consumer string, topic string, next_offset long").orderBy("consumer", "topic")
+
     def _consumer(self, name: str, optional: bool = False) -> None:
         if optional and not name:
             return

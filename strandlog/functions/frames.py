@@ -49,6 +49,18 @@ def record_bytes(key: Column, payload: Column, headers: Column, fields: dict[str
     return (F.lit(RECORD_FIXED) + F.octet_length(key) + F.octet_length(payload)).cast("long") + _headers_bytes(headers) + _headers_bytes(system_headers(fields))
 
 
+def prefix_end(prefix: Column) -> Column:
+    """The least byte string greater than all that begin with prefix (binary); null if there is none."""
+    kept = F.regexp_replace(F.hex(prefix), "(FF)+$", "")
+    last = F.conv(F.substring(kept, -2, 2), 16, 10).cast("int") + 1
+    return F.when(kept != "", F.unhex(F.concat(F.substring(kept, F.lit(1), F.length(kept) - 2), F.lpad(F.hex(last), 2, "0"))))
+
+
+def with_prefix(key: Column, prefix: Column) -> Column:
+    """Whether a binary key begins with prefix, as a range of keys, which a sorted table's statistics can answer."""
+    return (key >= prefix) & (prefix_end(prefix).isNull() | (key < prefix_end(prefix)))
+
+
 def segment_name(base: Column) -> Column:
     return F.lpad(base.cast("string"), 20, "0")
 

@@ -409,6 +409,24 @@ def compact_log(spark, sf_dir):
     return log.compact(rows).select("topic", "offset", "key")
 
 
+# Keys by prefix
+
+_PREFIXES = ("", "p", "pu", "si", "v", "z")
+
+
+@_query(f"SELECT p AS prefix, event_type AS topic, count(*) AS n_records FROM events, {_literals([(p,) for p in _PREFIXES], 'p')} WHERE starts_with(event_type, p) GROUP BY ALL")
+def prefix_scan(spark, sf_dir):
+    counts = event_messages(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n_records"))
+    own = counts.select(F.explode(F.array(*map(F.lit, _PREFIXES))).alias("prefix"), "topic", "n_records")
+    return own.filter((F.col("prefix") == "") | frames.with_prefix(F.col("topic").cast("binary"), F.col("prefix").cast("binary")))
+
+
+@_query("""SELECT * FROM (VALUES ('61', '62'), ('6162', '6163'), ('61FF', '62'), ('00', '01'), ('FF', NULL), ('FFFF', NULL), ('0FFF', '10'), ('7F', '80'), ('', NULL), ('FE01FFFF', 'FE02')) AS v(prefix, end_before)""")
+def prefix_ends(spark, sf_dir):
+    rows = _values(spark, [(x,) for x in ("61", "6162", "61FF", "00", "FF", "FFFF", "0FFF", "7F", "", "FE01FFFF")], "prefix string")
+    return rows.select("prefix", F.hex(frames.prefix_end(F.unhex("prefix"))).alias("end_before"))
+
+
 # Catalog and lifecycle
 
 

@@ -339,3 +339,26 @@ def test_yaml_settings(tmp_path):
     path.write_text("listen-addr: 0.0.0.0:1\ndata-dir: /d\nmax-recv-msg-size: 5\nstorage:\n  segment-max-bytes: 7\n  retention-interval: 1m\nsubscribe:\n  read-limit: 9\n")
     config = load(str(path), {})
     assert (config.address, config.data_dir, config.segment_bytes, config.retention_interval_ms, config.read_limit) == ("0.0.0.0:1", "/d", 7, 60000, 9)
+
+
+def test_records_one_by_one_and_prefixes(engine, tmp_path):
+    engine.create_topic("logs.a")
+    engine.create_topic("other")
+    engine.publish("logs.a", [{"payload": str(i)} for i in range(5)])
+    got = []
+
+    def stop_at_three(row):
+        if row["offset"] == 3 and 3 not in got:
+            got.append(3)
+            raise RuntimeError("not yet")
+        got.append(row["offset"])
+
+    with pytest.raises(Exception, match="not yet"):
+        engine.subscribe_each("logs.a", stop_at_three, str(tmp_path / "p")).awaitTermination()
+    engine.subscribe_each("logs.a", stop_at_three, str(tmp_path / "p")).awaitTermination()
+    assert got == [0, 1, 2, 3, 0, 1, 2, 3, 4]  # at least once, from the chunk that failed
+    engine.ack("team-1", "logs.a", 4)
+    engine.ack("team-2", "other", 0)
+    engine.ack("x", "other", 1)
+    assert [tuple(r) for r in engine.cursors("team-").collect()] == [("team-1", "logs.a", 4), ("team-2", "other", 0)] and engine.cursors().count() == 3
+    assert [r["name"] for r in engine.topics("logs.").collect()] == ["logs.a"]

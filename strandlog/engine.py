@@ -43,6 +43,7 @@ class Engine:
         self._guard = threading.Lock()
         self._halt, self._ticker = threading.Event(), None
         self._counts: dict[tuple[str, str], int] = {}
+        self._untold: dict[str, int] = {}  # first offset that a topic's feed lacks
         logger.setLevel({"warn": "WARNING"}.get(self.config.log_level, self.config.log_level.upper()))
 
     # Lifecycle
@@ -266,9 +267,18 @@ class Engine:
         active.next_offset, active.bytes, active.last_timestamp_ms = base + n, active.bytes + size, now
         manifest.leo = base + n
         table.commit(manifest)
-        table.announce(base, base + n, manifest.number)
+        self._announce(table, base, base + n, manifest.number)
         return base, base + n, size
 
+    def _announce(self, table: TableLog, base: int, end: int, number: int) -> None:
+        """Tell streams of a commit. It stands even if that fails; the next one's entry, or that of the next start, then tells of it."""
+        try:
+            table.announce(self._untold.get(table.topic, base), end, number)
+            self._untold.pop(table.topic, None)
+        except Exception:
+            self._untold.setdefault(table.topic, base)
+            logger.exception("topic %s: the feed lacks offsets from %d on", table.topic, self._untold[table.topic])
+
     def _listed(self, listed: list[dict]) -> DataFrame:
         kinds = {"headers": "map<string,string>", "payload": "binary", "retry_count": "int", "priority": "int", "schema_version": "int", "ttl_ms": "long"}
         if unknown := {k for m in listed for k in m} - set(M.MESSAGE_DEFAULTS):
@@ -338,7 +348,7 @@ class Engine:
             self._count(topic, delivered_records=n, delivered_chunks=1)
             return table.read(at, end=last + 1).orderBy("offset"), last + 1
 
-        feed = self.spark.readStream.schema("base long, end long").json(f"{table.path}/feed")
+        feed = self.spark.readStream.schema("base long, end long").option("ignoreMissingFiles", "true").json(f"{table.path}/feed")
         return streams.deliver(feed, chunk, emit, checkpoint, position, follow)
 
     def subscribe_each(self, topic: str, emit: Callable[[Row], None], checkpoint: str, consumer: str = "", start: int | None = None, follow: bool = False):
@@ -458,6 +468,7 @@ class Engine:
             manifest.segments, manifest.leo = kept, kept[-1].next_offset if kept else manifest.log_start
             self._drop(table, manifest, gone)
             table.commit(manifest)
+            table.forget(manifest.leo)
             return manifest.leo
 
         with self._lock(topic):

@@ -362,3 +362,32 @@ def test_records_one_by_one_and_prefixes(engine, tmp_path):
     engine.ack("x", "other", 1)
     assert [tuple(r) for r in engine.cursors("team-").collect()] == [("team-1", "logs.a", 4), ("team-2", "other", 0)] and engine.cursors().count() == 3
     assert [r["name"] for r in engine.topics("logs.").collect()] == ["logs.a"]
+
+
+def test_the_feed_after_truncation_and_failures(engine, spark, tmp_path, monkeypatch, clock):
+    engine.create_topic("t")
+    for k in "abc":
+        engine.publish("t", [{"payload": k}] * 2)
+    got = []
+    go = lambda e: e.subscribe("t", lambda rows, _: got.extend((r["offset"], bytes(r["payload"]).decode()) for r in rows.collect()), str(tmp_path / "p")).awaitTermination()
+    go(engine)
+    engine.truncate("t", 2)
+    engine.publish("t", [{"payload": "d"}])
+    go(engine)
+    assert got == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "c"), (2, "d")]
+    got.clear()
+    real = TableLog.announce
+    monkeypatch.setattr(TableLog, "announce", lambda *_: 1 / 0)
+    assert engine.publish("t", [{"payload": "e"}]) == (3, 4)  # committed, though nobody is told
+    monkeypatch.setattr(TableLog, "announce", real)
+    go(engine)
+    assert got == []
+    engine.publish("t", [{"payload": "f"}])
+    go(engine)
+    assert got == [(3, "e"), (4, "f")]
+    engine.truncate("t", 3)
+    monkeypatch.setattr(TableLog, "announce", lambda *_: 1 / 0)
+    engine.publish("t", [{"payload": "g"}])
+    monkeypatch.setattr(TableLog, "announce", real)
+    go(Engine(spark, engine.root, engine.config, clock).start())
+    assert got[2:] == [(3, "g")]

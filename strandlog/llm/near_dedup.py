@@ -13,7 +13,7 @@ Not all pairs of a key are made. First each node is held against the least node
 (within a slice, then over all slices, so a key that a third of all nodes share sends one row a
 slice). Links give components. Keys whose nodes are in one component by then need nothing
 more. The nodes of the others form groups: nodes with such a key in common are in one. Each group is held
-against itself in blocks of at most BLOCK bytes, which carry the whole sets. A task looks for pairs
+against itself in blocks of about BLOCK bytes, which carry the whole sets. A task looks for pairs
 within the distance whose components differ, closest first, confirms them on the sets at once, and puts out a
 spanning forest of the links it found: at most one a node. No pair that is refuted leaves a task. Nodes outside the largest
 component of a group are held against all, those inside only against those outside, so a large group of linked
@@ -49,8 +49,8 @@ from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes, u
 
 POSITIONS = 128
 #: Bytes of signatures and sets in a block; a task holds two blocks at a time.
-BLOCK = 1 << 20
-#: Groups of more blocks are searched key by key: in pairs of blocks each of their nodes would be sent more often than it has keys.
+BLOCK = 1 << 19
+#: Groups whose nodes would be sent more often than this in pairs of blocks, on average, are searched key by key: a node has so many keys.
 WIDE = POSITIONS
 #: Pairs of signatures in memory at a time, closest pairs of a node that are confirmed first, and shingles confirmed at a time.
 PAIRS, CLOSEST, GATHERED = 1 << 15, 32, 1 << 20
@@ -437,7 +437,7 @@ class _Graph:
         self.add(pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_near(self.percent), "_a long, _b long"))
 
     def dealt(self, groups: DataFrame) -> DataFrame:
-        """(_group, _node, _comp) of groups (_group, _node) with more than one component, with the group's numbers of blocks.
+        """(_group, _node, _comp) of groups (_group, _node) with more than one component, with the group's numbers of blocks and of copies of a node.
 
         A group of at most BLOCK bytes is one block. Else the nodes outside its largest component are dealt to _outer blocks, those inside
         to _inner ones after them.
@@ -453,7 +453,9 @@ class _Graph:
             F.when(whole, F.lit(None)).otherwise(F.col("_main._comp")).alias("_inside"),
             F.when(whole, 1).otherwise(blocks(F.col("_all") - F.col("_main._bytes"))).alias("_outer"),
             F.when(whole, 0).otherwise(blocks(F.col("_main._bytes"))).alias("_inner"),
+            (F.col("_main._bytes") / F.col("_all")).alias("_share"),
         )
+        sums = sums.withColumn("_copies", F.col("_outer") + (1 - F.col("_share")) * F.col("_inner"))
         return rows.select("_group", "_node", "_comp").join(sums, "_group")
 
     def search(self, dealt: DataFrame, keyed: bool) -> DataFrame:
@@ -504,7 +506,7 @@ def _link(docs: DataFrame, nodes: DataFrame, size: int, percent: int, links: Dat
     edges = _pairs(beside.select("_a", F.col("_node").alias("_b")).union(beside.select("_a", F.col("_least").alias("_b"))))
     groups = components(edges).select("_node", F.col("_comp").alias("_group"))
     dealt = graph.dealt(groups)
-    wide = F.col("_outer") + F.col("_inner") > WIDE
+    wide = F.col("_copies") > WIDE
     found = graph.search(dealt.filter(~wide), False)
     if dealt.filter(wide).limit(1).count():
         members = filed.join(dealt.filter(wide).select("_node"), "_node", "left_semi").join(mixed, "_key", "left_semi")

@@ -259,7 +259,7 @@ def chains(n=160, seed=5):
     return rows
 
 
-@pytest.mark.parametrize(("block", "wide"), [(1 << 20, 128), (20000, 128), (20000, 2)])
+@pytest.mark.parametrize(("block", "wide"), [(1 << 19, 128), (20000, 128), (20000, 1)])
 def test_near_duplicates_at_the_threshold(spark, monkeypatch, block, wide):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "WIDE", wide)

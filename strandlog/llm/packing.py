@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from strandlog.workspace import materialize
 
 from .tables import table
-from .textvec import slices, utf8
+from .textvec import slices, tidy, utf8
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -47,7 +47,7 @@ PART_ROWS = 1000
 #: Distinct parts of words whose ids a worker keeps; beyond that it starts anew.
 CACHED_PARTS = 1_000_000
 #: Bytes of texts encoded at a time.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 20
 #: Marks that the vocabulary's pre-tokenizer splits from letters before them, as one token's text.
 MARKS = ".,;:!?#$%&*|"
 _OTHER, _BLANK, _LETTER, _MARK, _HIGH = range(5)
@@ -247,7 +247,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: in
                 )
 
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(docs[id].alias("_id"), docs[text].alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id)
+    return docs.select(docs[id].alias("_id"), docs[text].alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
@@ -453,7 +453,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
 
     cut_names = ["_id", "piece", "start", "length", "ids_crc32"]
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.withColumnRenamed(id, "_id").mapInArrow(run, schema).withColumnRenamed("_id", id)
+    return ranked.withColumnRenamed(id, "_id").mapInArrow(tidy(run), schema).withColumnRenamed("_id", id)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

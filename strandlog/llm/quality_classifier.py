@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from strandlog.workspace import materialize, release
 
 from .tables import table
-from .textvec import _BYTE_CODES, _LOWER, _SPACE, _U, mix64, seeds, slices, span_hashes, utf8
+from .textvec import _BYTE_CODES, _LOWER, _SPACE, _U, SMALL_SLICE, mix64, seeds, slices, span_hashes, tidy, utf8
 
 BITS = 18
 MAX_TRAIN = 12_000
@@ -118,7 +118,7 @@ def ftrl(
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", SMALL_SLICE):
             idx, values, bounds = features(part.column("_text"))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((idx, pa.int32()), (values, pa.float32()))]
             count = pa.array(np.diff(bounds))
@@ -136,7 +136,7 @@ def train(
     )
     # few has max_train rows of 60 bytes at most, whatever the size of labels.
     chosen = docs.select(docs[id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(few), "_id").select("_rank", "_label", "_text")
-    found = materialize(chosen.mapInArrow(_sample_features, "_rank string, _label double, _count long, idx array<int>, val array<float>"), "features")
+    found = materialize(chosen.mapInArrow(tidy(_sample_features), "_rank string, _label double, _count long, idx array<int>, val array<float>"), "features")
     # Bounds the driver's memory whatever the lengths of texts: ranks up to one that all labelled texts up to it fit with; ids of several rows make few more.
     sizes = found.groupBy("_rank").agg(F.sum("_count").alias("_count")).toArrow().sort_by("_rank")
     ranks, total = sizes.column("_rank").to_pylist(), np.cumsum(sizes.column("_count").to_numpy())
@@ -171,10 +171,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SMALL_SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_column(part.column(text), weights, constant))], names=[*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -183,10 +183,10 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SMALL_SLICE):
                 yield part.filter(pa.array(score_column(part.column(text), weights, constant) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fold(id: str = "doc_id"):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import table
-from .textvec import slices
+from .textvec import slices, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -217,7 +217,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
                     columns[length] = pa.array([len(b) if a != b else n for a, b, n in zip(old, new, columns[length].to_pylist(), strict=True)], kind)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

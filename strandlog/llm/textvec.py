@@ -8,13 +8,16 @@ memory of a task by the slice size or one text, whichever is larger.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
+#: For work that holds many times a slice's bytes.
+SMALL_SLICE = 1 << 19
 
 _U = np.uint64
 _RATIO = 0x9E3779B97F4A7C15 | 1
@@ -44,7 +47,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2 ** 64; the table grows as needed."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = max(n + 1, min(SLICE_BYTES, max(SMALL_SLICE, 2 * n)) + 1)
         table = np.full(size, _U(base), dtype=_U)
         table[0] = 1
         have = np.cumprod(table, dtype=_U)
@@ -76,6 +79,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc's alone
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which what it freed is given back: a worker process lives on, and what it keeps adds to the memory of all later tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,19 +31,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: With this setting Spark removes an execution's shuffle files when it ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to Python at a time, at most: each task holds a few such batches of texts or sets outside Spark's heap, and its worker as many.
+_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4096
 
 
 @contextmanager
-def _clean_shuffles(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _held(spark: SparkSession, **settings: str):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _lean(spark: SparkSession):
+    """Shuffle files go when an execution ends, and batches for Python are small."""
+    rows = int(spark.conf.get(_ROWS))
+    return _held(spark, **{_CLEANUP: "true", _ROWS: str(min(rows, ROWS) if rows > 0 else ROWS)})
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     What the write shuffled isn't needed again and goes at once.
     """
     path = new_path(df.sparkSession, name)
-    with _clean_shuffles(df.sparkSession):
+    with _lean(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandlog import workspace
 from strandlog.llm import fingerprints, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, textvec
 from strandlog.llm.queries import oracle_sql, queries
 
@@ -346,6 +347,14 @@ def test_keys_guarantee_pairs_within_the_distance():
         assert (near_dedup.keys(a, allowed) == near_dedup.keys(b, allowed)).any()
 
 
+def test_batches_for_python_are_small(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    sizes = [r["n"] for r in workspace.materialize(spark.range(0, 20000, 1, 1).mapInArrow(textvec.tidy(count), "n long"), "sizes").collect()]
+    assert sum(sizes) == 20000 and max(sizes) <= workspace.ROWS and spark.conf.get(setting) == before
+
+
 def test_keep_one(edge, nothing):
     kept = near_dedup.keep_one(edge)
     assert kept.columns == edge.columns and kept.schema == edge.schema

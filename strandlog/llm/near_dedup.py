@@ -2,9 +2,10 @@
 
 Documents are sets of word shingles. Documents with equal sets (128-bit digests) are one
 node of the graph, so copies cost nothing further. Each node has a signature of POSITIONS
-b-bit minima (b = 8). Two signatures are candidates if they differ in at most `errors`
+b-bit minima (b = 16). Two signatures are candidates if they differ in at most `errors`
 positions, chosen so that a pair at the similarity asked for exceeds it with a probability
-of about one in a million. Candidates are found by pigeonhole: positions are dealt to
+of about one in a million. A key has three positions at least: with 8 bits, texts that have nothing in common would share
+keys of 24 bits more often the more texts there are, until most nodes are in one group; with 16 bits that isn't so. Candidates are found by pigeonhole: positions are dealt to
 (errors + 1) / 2 chunks, rounded up, so any such pair has a chunk with one difference or none, and
 each node is filed under every chunk with each single position left out. Every pair within the
 distance shares a key; every link is then confirmed on the full sets.
@@ -17,7 +18,8 @@ against itself in blocks of about BLOCK bytes, which carry the whole sets. A tas
 within the distance whose components differ, closest first, confirms them on the sets at once, and puts out a
 spanning forest of the links it found: at most one a node. No pair that is refuted leaves a task. Nodes outside the largest
 component of a group are held against all, those inside only against those outside, so a large group of linked
-copies is sent once for every block of nodes that aren't linked to it. A group of nodes that are within the distance
+copies is sent once for every block of nodes that aren't linked to it. What is sent grows with the square of a group, so pairs of
+blocks are searched in passes, and a pass's shuffle files go before the next: disk is in proportion to the sets. A group of nodes that are within the distance
 and not similar enough has as many comparisons as pairs, in memory, but never as many rows.
 
 Components come from contracting trees of least neighbours, each step written to the shared
@@ -45,13 +47,18 @@ from pyspark.sql import Window as W
 from strandlog.workspace import materialize, passing, release
 
 from .tables import table
-from .textvec import _U, Words, mix64, reduce_min, seeds, slices, span_hashes, utf8
+from .textvec import _U, SMALL_SLICE, Words, mix64, reduce_min, seeds, slices, span_hashes, tidy, utf8
 
 POSITIONS = 128
+#: Minima, and bytes of a signature.
+MINIMUM = np.dtype(np.uint16)
+SIGN_BYTES = POSITIONS * MINIMUM.itemsize
 #: Bytes of signatures and sets in a block; a task holds two blocks at a time.
 BLOCK = 1 << 19
 #: Groups whose nodes would be sent more often than this in pairs of blocks, on average, are searched key by key: a node has so many keys.
 WIDE = POSITIONS
+#: Bytes that a pass of the search sends, at least; at most it is these or twice the bytes of all nodes in groups.
+PASS_BYTES = 1 << 28
 #: Pairs of signatures in memory at a time, closest pairs of a node that are confirmed first, and shingles confirmed at a time.
 PAIRS, CLOSEST, GATHERED = 1 << 15, 32, 1 << 20
 NULL_ID = 1 << 62
@@ -60,7 +67,7 @@ MARGIN = 5.2
 
 _XOR = seeds(POSITIONS, 41)
 _MUL = seeds(POSITIONS, 42) | _U(1)
-_CELL = seeds(POSITIONS * 256, 43).reshape(POSITIONS, 256)
+_CELL = seeds(POSITIONS, 43)
 _PLACE = seeds(POSITIONS, 60)
 _SALT = seeds(64, 44)
 
@@ -87,11 +94,11 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One byte for each position and text."""
+    """One minimum for each position and text."""
     counts = np.diff(bounds)
-    out = np.zeros((len(counts), POSITIONS), np.uint8)
+    out = np.zeros((len(counts), POSITIONS), MINIMUM)
     for j in range(POSITIONS):
-        out[:, j] = (reduce_min((value ^ _XOR[j]) * _MUL[j], bounds, counts, 0) >> _U(24)).astype(np.uint8)
+        out[:, j] = (reduce_min((value ^ _XOR[j]) * _MUL[j], bounds, counts, 0) >> _U(24)).astype(MINIMUM)
     return out
 
 
@@ -103,25 +110,27 @@ def _sums(value: np.ndarray, bounds: np.ndarray, salt: np.uint64) -> np.ndarray:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SMALL_SLICE):
                 value, bounds = shingles(part.column("_text"), size)
-                sign = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POSITIONS), part.num_rows, [None, pa.py_buffer(signatures(value, bounds).tobytes())])
+                sign = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGN_BYTES), part.num_rows, [None, pa.py_buffer(signatures(value, bounds).tobytes())])
                 columns = [part.column("_id"), part.column("_x"), pa.array(np.diff(bounds)), *(pa.array(_sums(value, bounds, s)) for s in _SALT[:2]), sign.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "_x", "_n", "_d1", "_d2", "_sign"])
 
-    return run
+    return tidy(run)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Signatures as rows of bytes."""
+    """Signatures as rows of minima."""
+    if not len(column):
+        return np.zeros((0, POSITIONS), MINIMUM)
     bufs = column.buffers()
-    offset = np.frombuffer(bufs[1], np.int32)[column.offset] if len(column) else 0
-    return np.frombuffer(bufs[2], np.uint8)[offset : offset + len(column) * POSITIONS].reshape(-1, POSITIONS) if len(column) else np.zeros((0, POSITIONS), np.uint8)
+    offset = int(np.frombuffer(bufs[1], np.int32)[column.offset])
+    return np.frombuffer(bufs[2], MINIMUM, len(column) * POSITIONS, offset).reshape(-1, POSITIONS)
 
 
 def keys(sign: np.ndarray, allowed: int) -> np.ndarray:
     """POSITIONS keys of each signature: for every chunk, the chunk without each of its positions in turn."""
-    cells = _CELL[np.arange(POSITIONS)[None, :], sign]
+    cells = mix64(sign.astype(_U) + _CELL[None, :])
     out = np.empty(sign.shape, _U)
     for chunk in np.array_split(np.arange(POSITIONS), ceil((allowed + 1) / 2)):
         out[:, chunk] = (cells[:, chunk].sum(axis=1, dtype=_U)[:, None] - cells[:, chunk]) + _PLACE[chunk][None, :]
@@ -156,7 +165,7 @@ def _stars(allowed: int):
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_node", "_other"])
 
-    return run
+    return tidy(run)
 
 
 def _filed(allowed: int):
@@ -168,7 +177,7 @@ def _filed(allowed: int):
             columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("_node")), POSITIONS))]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_node"])
 
-    return run
+    return tidy(run)
 
 
 class Block:
@@ -278,7 +287,7 @@ def _block_links(allowed: int, percent: int, keyed: bool):
         if held:
             yield emit(now, held)
 
-    return run
+    return tidy(run)
 
 
 def _within(allowed: int):
@@ -287,7 +296,7 @@ def _within(allowed: int):
             far = (_matrix(batch.column("_sa")) != _matrix(batch.column("_sb"))).sum(axis=1)
             yield batch.select(["_a", "_b"]).filter(pa.array(far <= allowed))
 
-    return run
+    return tidy(run)
 
 
 def _shared_keys(allowed: int):
@@ -303,7 +312,7 @@ def _shared_keys(allowed: int):
             first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(node[first])], names=["_key", "_least"])
 
-    return run
+    return tidy(run)
 
 
 def _near(percent: int):
@@ -320,19 +329,19 @@ def _near(percent: int):
                 ok.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SMALL_SLICE):
                 value, bounds = shingles(part.column("_text"), size)
                 sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).tobytes()), pa.py_buffer(value.tobytes())])
                 columns = [part.column("_id"), *(pa.array(_sums(value, bounds, s)) for s in _SALT[:2]), sets.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "_d1", "_d2", "_set"])
 
-    return run
+    return tidy(run)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -391,6 +400,7 @@ class _Graph:
         self.allowed = errors(percent)
         self.sign = nodes.select("_node", "_sign")
         self.labels = None if links is None else components(links)
+        self.held: int | None = None
 
     def comp(self, rows: DataFrame, name: str, out: str) -> DataFrame:
         """rows with the component of the node in column name."""
@@ -442,8 +452,10 @@ class _Graph:
         A group of at most BLOCK bytes is one block. Else the nodes outside its largest component are dealt to _outer blocks, those inside
         to _inner ones after them.
         """
-        rows = groups.join(self.nodes.select("_node", (F.col("_n") * 8 + POSITIONS).alias("_bytes")), "_node")
+        rows = groups.join(self.nodes.select("_node", (F.col("_n") * 8 + SIGN_BYTES).alias("_bytes")), "_node")
         rows = materialize(self.comp(rows, "_node", "_comp"), "grouped")
+        if self.held is None:
+            self.held = rows.agg(F.sum("_bytes")).first()[0] or 0
         parts = rows.groupBy("_group", "_comp").agg(F.sum("_bytes").alias("_bytes"))
         sums = parts.groupBy("_group").agg(F.sum("_bytes").alias("_all"), F.max(F.struct("_bytes", "_comp")).alias("_main"), F.count("*").alias("_comps"))
         blocks = lambda c: F.ceil(c / BLOCK).cast("int")
@@ -456,18 +468,26 @@ class _Graph:
             (F.col("_main._bytes") / F.col("_all")).alias("_share"),
         )
         sums = sums.withColumn("_copies", F.col("_outer") + (1 - F.col("_share")) * F.col("_inner"))
-        return rows.select("_group", "_node", "_comp").join(sums, "_group")
+        return rows.select("_group", "_node", "_comp", "_bytes").join(sums, "_group")
 
     def search(self, dealt: DataFrame, keyed: bool) -> DataFrame:
-        """Links between components within each group, from all pairs of its nodes that are within the distance."""
+        """Links between components within each group, from all pairs of its nodes that are within the distance; written pass by pass."""
         n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         inside, at = F.coalesce(F.col("_comp") == F.col("_inside"), F.lit(False)), F.xxhash64("_node")
         own = F.when(inside, F.col("_outer") + F.pmod(at, F.col("_inner"))).otherwise(F.pmod(at, F.col("_outer"))).cast("int")
-        rows = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_outer") - 1 + F.when(inside, 0).otherwise(F.col("_inner")))))
+        others = F.col("_outer") + F.when(inside, 0).otherwise(F.col("_inner"))
+        sent = dealt.agg(F.sum(F.col("_bytes") * others)).first()[0] or 0
+        passes = max(1, ceil(sent / max(PASS_BYTES, 2 * self.held)))
+        rows = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
         rows = rows.select("_group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_comp")
-        rows = rows.join(self.sign, "_node").join(self.sets, "_node")
-        rows = rows.repartition(n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
-        return rows.mapInArrow(_block_links(self.allowed, self.percent, keyed), "_a long, _b long")
+        found = None
+        for k in range(passes):
+            some = rows.filter(F.pmod(F.xxhash64("_group", "_i", "_j"), F.lit(passes)) == k) if passes > 1 else rows
+            some = some.join(self.sign, "_node").join(self.sets, "_node")
+            some = some.repartition(n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
+            links = materialize(some.mapInArrow(_block_links(self.allowed, self.percent, keyed), "_a long, _b long"), "found")
+            found = links if found is None else found.union(links)
+        return found
 
 
 def link(docs: DataFrame, nodes: DataFrame, size: int, percent: int, links: DataFrame | None = None) -> DataFrame | None:

@@ -270,6 +270,17 @@ def test_near_duplicates_at_the_threshold(spark, monkeypatch, block, wide):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == sorted(brute_components(rows, 3, 85))
 
 
+def test_blocks_are_searched_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20000)
+    monkeypatch.setattr(near_dedup, "PASS_BYTES", 1)
+    written, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    rows = chains()
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == sorted(brute_components(rows, 3, 85))
+    assert written.count("found") > 1
+
+
 def test_blocks_put_out_a_spanning_forest():
     rows = chains()
     value, bounds = near_dedup.shingles(pa.array([t for _, t in rows]), 3)
@@ -347,6 +358,16 @@ def test_keys_guarantee_pairs_within_the_distance():
         assert (near_dedup.keys(a, allowed) == near_dedup.keys(b, allowed)).any()
 
 
+def test_texts_with_nothing_in_common_share_no_keys():
+    # Else the more texts there are, the more of each have keys in common with some other, and groups grow together.
+    n = 30000
+    value = np.random.default_rng(2).integers(0, 1 << 63, 20 * n).astype(np.uint64)
+    sign = near_dedup.signatures(value, np.arange(n + 1) * 20)
+    for percent in (80, 85):
+        key = near_dedup.keys(sign, near_dedup.errors(percent)).ravel()
+        assert len(np.unique(key)) == len(key)
+
+
 def test_batches_for_python_are_small(spark):
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)

@@ -11,7 +11,7 @@ import logging
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -340,16 +340,17 @@ class Engine:
         _, table = self._found(topic)
         position = self.start_position(topic, consumer, start)
 
-        def chunk(at: int, end: int) -> tuple[DataFrame, int] | None:
-            rows = self._bounded(table.read(at, end=end), at, self.config.read_limit, self.config.read_max_bytes)
-            n, last = rows.agg(F.count("*"), F.max("offset")).first()
-            if not n:
-                return None
-            self._count(topic, delivered_records=n, delivered_chunks=1)
-            return table.read(at, end=last + 1).orderBy("offset"), last + 1
+        def snapshot() -> Callable[[int, int], DataFrame]:
+            manifest = table.manifest() or Manifest()
+            return lambda a, b: table.read(a, manifest, b)
+
+        def chunks(at: int, end: int) -> Iterator[DataFrame]:
+            for rows, n in streams.chunks(snapshot, at, end, self.config.read_limit, self.config.read_max_bytes):
+                self._count(topic, delivered_records=n, delivered_chunks=1)
+                yield rows
 
         feed = self.spark.readStream.schema("base long, end long").option("ignoreMissingFiles", "true").json(f"{table.path}/feed")
-        return streams.deliver(feed, chunk, emit, checkpoint, position, follow)
+        return streams.deliver(feed, chunks, emit, checkpoint, position, follow)
 
     def subscribe_each(self, topic: str, emit: Callable[[Row], None], checkpoint: str, consumer: str = "", start: int | None = None, follow: bool = False):
         """Like subscribe, with one record at a time; an error that emit raises ends the query, which begins with that chunk again."""

@@ -563,8 +563,9 @@ def delivered_chunks(spark, sf_dir):
     """What a subscriber gets of a published log: a row a chunk."""
     engine = Engine(spark, new_path(spark, "engine"), Config(read_limit=1500, read_max_bytes=16384)).start()
     engine.create_topic("events")
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), F.col("props").alias("payload"))
-    engine.publish("events", rows.select(F.col("event_id").alias("place"), "key", "payload"), order=["place"])
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = table(spark, sf_dir, "events").select(at, F.col("event_id").alias("place"), F.col("event_type").alias("key"), F.col("props").alias("payload"))
+    engine.publish("events", rows, order=["at", "place"])
     seen: list[tuple] = []
 
     def emit(chunk: DataFrame, number: int) -> None:

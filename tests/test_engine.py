@@ -4,6 +4,7 @@ import io
 import os
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from strandlog import model as M
 from strandlog.cli import run
 from strandlog.config import Config, load
 from strandlog.engine import Engine
+from strandlog.plans import catalogue
 from strandlog.sources.table_log import Conflict, TableLog
+from strandlog.streaming import follow
 
 
 class Clock:
@@ -199,6 +202,49 @@ def test_delivery_in_bounded_ordered_chunks(engine, tmp_path):
     assert {r["name"]: r["value"] for r in engine.metrics().collect() if r["name"].startswith("delivered")} == {"delivered_records": 9, "delivered_chunks": 5}
 
 
+def test_many_chunks_are_fetched_at_a_time(engine, tmp_path, monkeypatch):
+    engine.config = Config(read_limit=5, read_max_bytes=20)
+    engine.create_topic("t")
+    sizes = [n % 7 + (30 if n % 23 == 0 else 0) for n in range(200)]
+    engine.publish("t", [{"payload": "x" * n, "headers": {"h": str(n)}} for n in sizes])
+    want, at = [], 0
+    while at < len(sizes):
+        to = at + 1
+        while to < len(sizes) and to - at < 5 and sum(sizes[at : to + 1]) <= 20:
+            to += 1
+        want.append(list(range(at, to)))
+        at = to
+    reads, read = [], TableLog.read
+    monkeypatch.setattr(TableLog, "read", lambda *a, **b: (reads.append(1), read(*a, **b))[1])
+
+    def deliver(name):
+        got = []
+        reads.clear()
+        engine.subscribe("t", lambda rows, i: got.append((i, [(r["offset"], len(r["payload"]), r["headers"]) for r in rows.collect()])), str(tmp_path / name)).awaitTermination()
+        return got
+
+    every = [(i, [(o, sizes[o], {"h": str(sizes[o])}) for o in c]) for i, c in enumerate(want)]
+    assert len(want) > 40 and deliver("p") == every and len(reads) < 5
+    monkeypatch.setattr(follow, "SIZED", 17)
+    monkeypatch.setattr(follow, "FETCHED", 700)
+    assert deliver("q") == every
+    monkeypatch.setattr(follow, "FETCHED", 1)
+    assert deliver("r") == every
+
+
+def test_delivered_chunks_go_by_time(spark, tmp_path):
+    n = 3000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919) % 1000).alias("ts"), F.lit("a").alias("event_type"),
+        F.col("id").alias("user_id"), F.lit(1.0).alias("value"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("props"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(catalogue.oracle_sql()["delivered_chunks"]).fetchall()
+    assert len(want) > 2 and sorted(tuple(r) for r in catalogue.queries()["delivered_chunks"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_what_was_not_committed_is_not_delivered(engine, spark, tmp_path, monkeypatch):
     engine.create_topic("t")
     engine.publish("t", [{"payload": "a"}] * 2)

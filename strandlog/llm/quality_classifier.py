@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from strandlog.workspace import materialize, release
 
 from .tables import table
-from .textvec import _BYTE_CODES, _LOWER, _SPACE, _U, SMALL_SLICE, mix64, seeds, slices, span_hashes, tidy, utf8
+from .textvec import _BYTE_CODES, _LOWER, _SPACE, _U, SMALL_SLICE, give_back, mix64, seeds, slices, span_hashes, tidy, utf8
 
 BITS = 18
 MAX_TRAIN = 12_000
@@ -152,7 +152,11 @@ def train(
         marks += got.column("_label").to_pylist()
         at = to
     release(found)
-    return ftrl(rows, np.array(marks))
+    model = ftrl(rows, np.array(marks))
+    # Most of what the driver's Python ever holds; it would keep it as free memory for the rest of the session.
+    rows, got, sizes = [], None, None
+    give_back()
+    return model
 
 
 def score_column(column: pa.Array, weights: np.ndarray, constant: float) -> np.ndarray:

@@ -368,6 +368,15 @@ def test_texts_with_nothing_in_common_share_no_keys():
         assert len(np.unique(key)) == len(key)
 
 
+def test_freed_memory_is_given_back():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+    parts = [np.ones(1 << 13) for _ in range(3000)]
+    mark, full = np.ones(1 << 13), held()
+    del parts
+    textvec.give_back()
+    assert held() < full - 150 and mark[0] == 1
+
+
 def test_batches_for_python_are_small(spark):
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
